@@ -35,8 +35,8 @@ from tidegate.operators.badrows import ETL_COLUMNS, classify
 
 #: Words below this share of all words are never sent to the tasks.
 SHARE = 1e-4
-#: Disclosure of a given name: log ratio between name columns and notes; share of names in a context; share of a word's places that are names'; a common word's least count.
-REVEALS, CONTEXT, PLACED, COMMON = 0.0, 0.5, 0.5, 12
+#: Disclosure of a given name: log ratio between name columns and notes; share of names in a context; share of a word's places that are names', or beside given names for surnames; a common word's least count.
+REVEALS, CONTEXT, PLACED, FAMILY, COMMON = 0.0, 0.5, 0.5, 0.8, 12
 
 # The shapes of the details that have a form.
 _LOCAL = r"[A-Za-z0-9][A-Za-z0-9._%+'\-]*"
@@ -153,7 +153,7 @@ def find_names(note: str, spans: list[tuple[int, int, str]], d: Disclosure) -> l
         j = i
         while j < len(tokens) and tokens[j].low in PARTICLES and gap(j) == " ":
             j += 1
-        return j + 1 if j < len(tokens) and rare(tokens[j]) else i
+        return j + 1 if j < len(tokens) and (rare(tokens[j]) or tokens[j].low in d.given and tokens[j].low not in d.doubtful) else i
 
     around = contexts(note, tokens, spans, d.common)
 
@@ -257,8 +257,8 @@ def _contexts(given: frozenset[str], common: frozenset[str]):
     return run
 
 
-def _placed(before: frozenset[str], after: frozenset[str], common: frozenset[str]):
-    """How often each common word stands in a place of names."""
+def _placed(before: frozenset[str], after: frozenset[str], common: frozenset[str], given: frozenset[str]):
+    """How often each common word stands in a place of names, and how often beside a given name as surnames do."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -270,6 +270,9 @@ def _placed(before: frozenset[str], after: frozenset[str], common: frozenset[str
                     if t.low in common:
                         goes_on = i + 1 < len(tokens) and note[t.end : tokens[i + 1].start] == " " and tokens[i + 1].low not in common
                         seen["in" if left in before or right in after or goes_on and t.text[:1].isupper() else "out", t.low] += 1
+                        follows = i > 0 and tokens[i - 1].low in given and note[tokens[i - 1].end : t.start] == " "
+                        leads = i + 1 < len(tokens) and tokens[i + 1].low in given and note[t.end : tokens[i + 1].start] in (", ", ",")
+                        seen["beside" if follows or leads else "apart", t.low] += 1
             yield _counts(seen)
 
     return run
@@ -303,13 +306,14 @@ def learn(names: DataFrame, nicknames: DataFrame, notes: DataFrame) -> Disclosur
     share = lambda side, c: n.get((f"{side} name", c), 0) / max(1, n.get((f"{side} name", c), 0) + n.get((f"{side} other", c), 0))
     side = lambda s: frozenset(c for k, c in n if k == f"{s} name" and c.strip("^#? ") and share(s, c) >= CONTEXT)
     before, after = side("before"), side("after")
-    rows = distinct.mapInArrow(_placed(before, after, common), tally).groupBy("kind", "term").agg(F.sum("n").alias("n")).where(F.col("n") >= 2).collect()
+    rows = distinct.mapInArrow(_placed(before, after, common, sure), tally).groupBy("kind", "term").agg(F.sum("n").alias("n")).where(F.col("n") >= 2).collect()
     at = {(r.kind, r.term): r.n for r in rows}
     place = lambda w: at.get(("in", w), 0) / max(1, at.get(("in", w), 0) + at.get(("out", w), 0))
-    placed = {w for w in common if len(w) > 2 and place(w) >= PLACED}
+    families = {w for w in common if len(w) > 3 and at.get(("beside", w), 0) >= FAMILY * (at.get(("beside", w), 0) + at.get(("apart", w), 0))}
+    placed = {w for w in common - families if len(w) > 2 and place(w) >= PLACED}
     given |= placed
     doubtful = frozenset(w for w in given if w in common and w not in placed)
-    return Disclosure(frozenset(given), doubtful, frozenset(common - given) | doubtful, before, after)
+    return Disclosure(frozenset(given), doubtful, frozenset(common - given - families) | doubtful, before, after)
 
 
 def loaded_notes(customers: DataFrame, lines: DataFrame) -> DataFrame:
