@@ -17,7 +17,7 @@ def test_mask(spark):
 
 
 def test_fits(spark):
-    rows = [("phone", "(555) 555-1234", True), ("phone", "+1 555.555.1234", True), ("phone", "+2 5555551234", False), ("phone", "555-1234", False), ("phone", " 5555551234", False), ("phone", "5555551234 x12", False), ("ssn", "123-45-6789", True), ("ssn", "123456789", False), ("plan", "free", True), ("plan", "free ", False), ("plan", "Pro", False)]
+    rows = [("phone", "(555) 555-1234", True), ("phone", "+1 555.555.1234", True), ("phone", "(+1) 555-555-1234", True), ("phone", "+2 5555551234", False), ("phone", "555-1234", False), ("phone", " 5555551234", False), ("phone", "5555551234 x12", False), ("ssn", "123-45-6789", True), ("ssn", "123456789", False), ("plan", "free", True), ("plan", "free ", False), ("plan", "Pro", False)]
     df = spark.createDataFrame(rows, "f string, v string, w boolean")
     got = df.select("v", profile.fits(df.f, df.v, profile.mask(df.v)).alias("g"), "w").collect()
     assert [(r.v, r.g) for r in got] == [(r.v, r.w) for r in got]

@@ -25,9 +25,9 @@ FIELDS = ("phone", "ssn", "plan")
 
 
 def mask(value: Column) -> Column:
-    """Character-class mask: runs keep their length."""
-    lead = F.when(value.startswith("+1"), F.lit("+1")).otherwise(F.lit(""))
-    rest = F.when(value.startswith("+1"), F.substring(value, 3, 1 << 30)).otherwise(value)
+    """Character-class mask: runs keep their length; a leading +1 stays, whatever parts it."""
+    lead = F.regexp_extract(value, r"\A[ .\-()]*\+[ .\-()]*1", 0)
+    rest = F.substring(value, F.length(lead) + 1, F.length(value))
     return F.concat(lead, F.regexp_replace(F.regexp_replace(F.regexp_replace(rest, "[0-9]", "9"), r"\p{Lu}", "A"), r"\p{Ll}", "a"))
 
 

@@ -63,12 +63,12 @@ def p6_mask_divergence(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_renewed, p2_found, p3_found, p3_loaded, p6_found, p6_profile, p6_masks, p6_rare, p6_mask_divergence)}
 
-_MASK = r"case when value like '+1%' then '+1' || regexp_replace(regexp_replace(regexp_replace(value[3:], '[0-9]', '9', 'g'), '\p{Lu}', 'A', 'g'), '\p{Ll}', 'a', 'g') else regexp_replace(regexp_replace(regexp_replace(value, '[0-9]', '9', 'g'), '\p{Lu}', 'A', 'g'), '\p{Ll}', 'a', 'g') end"
+_LEAD = r"regexp_extract(value, '^[ .()-]*\+[ .()-]*1')"
+_MASK = rf"{_LEAD} || regexp_replace(regexp_replace(regexp_replace(value[length({_LEAD}) + 1:], '[0-9]', '9', 'g'), '\p{{Lu}}', 'A', 'g'), '\p{{Ll}}', 'a', 'g')"
 _CELLS = """cells as (
   select feed_no, load_no, rec_id, field, nullif(case when trim(v, ' ') = '' then '' else v end, '') as value
   from (select feed_no, load_no, rec_id, unnest(['phone', 'ssn', 'plan']) as field, unnest([phone, ssn, plan]) as v from customer_export))"""
 _FITS = r"case field when 'phone' then regexp_full_match(regexp_replace(value, '[ .()-]', '', 'g'), '(\+1)?[0-9]{10}') when 'ssn' then regexp_full_match(value, '[0-9]{3}-[0-9]{2}-[0-9]{4}') else value in ('free', 'pro', 'team', 'enterprise') end"
-_CELL = r"""regexp_full_match({c}, '[+-]?[0-9]+') and try_cast({c} as bigint) is not null"""
 
 SQL: dict[str, str] = {
     "p1_renewed": r"select term_id, strftime(strptime(renewed_on, '%d/%m/%Y'), '%Y-%m-%d') as normal from date_terms where try_strptime(renewed_on, '%d/%m/%Y') is not null",
