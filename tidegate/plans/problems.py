@@ -70,6 +70,17 @@ _CELLS = """cells as (
   from (select feed_no, load_no, rec_id, unnest(['phone', 'ssn', 'plan']) as field, unnest([phone, ssn, plan]) as v from customer_export))"""
 _FITS = r"case field when 'phone' then regexp_full_match(regexp_replace(value, '[ .()-]', '', 'g'), '(\+1)?[0-9]{10}') when 'ssn' then regexp_full_match(value, '[0-9]{3}-[0-9]{2}-[0-9]{4}') else value in ('free', 'pro', 'team', 'enterprise') end"
 
+_RECORDS = r"""
+with t as (select line_id, regexp_replace(raw_line, '(\r\n|\n|\r)$', '') as r, str_split(regexp_replace(raw_line, '(\r\n|\n|\r)$', ''), '"') as p from etl_lines),
+q as (select *, len(p) % 2 = 1 and coalesce(list_bool_and([i % 2 = 0 or p[i] = '' or ((i = 1 or starts_with(p[i], ',')) and (i = len(p) or ends_with(p[i], ','))) for i in range(1, len(p) + 1)]), false) as ok from t),
+c as (select line_id, ok, str_split(list_aggregate([case when i % 2 = 1 and p[i] = '' and i > 1 and i < len(p) then '"' when i % 2 = 1 then replace(p[i], ',', chr(1)) else p[i] end for i in range(1, len(p) + 1)], 'string_agg', ''), chr(1)) as x from q),
+f as (select line_id, x, case when not ok then 'quote' when len(x) <> 10 then 'columns'
+  when not (regexp_full_match(x[1], '[+-]?[0-9]+') and try_cast(x[1] as bigint) is not null) then 'id'
+  when not (regexp_full_match(x[6], '[+-]?[0-9]+') and try_cast(x[6] as bigint) is not null) then 'age'
+  when not regexp_full_match(x[7], '[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?') then 'amount'
+  when not (regexp_full_match(x[9], '[0-9]{4}-[0-9]{2}-[0-9]{2}') and try_cast(x[9] as date) is not null) then 'signup_date' end as reason from c)
+"""
+
 SQL: dict[str, str] = {
     "p1_renewed": r"select term_id, strftime(strptime(renewed_on, '%d/%m/%Y'), '%Y-%m-%d') as normal from date_terms where try_strptime(renewed_on, '%d/%m/%Y') is not null",
     "p2_found": """
@@ -110,16 +121,20 @@ with {_CELLS}, m as (select rec_id, field, value, {_MASK} as mask from cells whe
 c0 as (select field, mask, count(*) as n from m group by all),
 c as (select field, mask, n / sum(n) over (partition by field) as share from c0)
 select rec_id as row_key, field, value, mask from m join c using (field, mask) where share < 0.05""",
-    "p3_found": r"""
-with t as (select line_id, regexp_replace(raw_line, '(\r\n|\n|\r)$', '') as r, str_split(regexp_replace(raw_line, '(\r\n|\n|\r)$', ''), '"') as p from etl_lines),
-q as (select *, len(p) % 2 = 1 and coalesce(list_bool_and([i % 2 = 0 or p[i] = '' or ((i = 1 or starts_with(p[i], ',')) and (i = len(p) or ends_with(p[i], ','))) for i in range(1, len(p) + 1)]), false) as ok from t),
-c as (select line_id, ok, str_split(list_aggregate([case when i % 2 = 1 and p[i] = '' and i > 1 and i < len(p) then '"' when i % 2 = 1 then replace(p[i], ',', chr(1)) else p[i] end for i in range(1, len(p) + 1)], 'string_agg', ''), chr(1)) as x from q),
-f as (select line_id, case when not ok then 'quote' when len(x) <> 10 then 'columns'
-  when not (regexp_full_match(x[1], '[+-]?[0-9]+') and try_cast(x[1] as bigint) is not null) then 'id'
-  when not (regexp_full_match(x[6], '[+-]?[0-9]+') and try_cast(x[6] as bigint) is not null) then 'age'
-  when not regexp_full_match(x[7], '[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?') then 'amount'
-  when not (regexp_full_match(x[9], '[0-9]{4}-[0-9]{2}-[0-9]{2}') and try_cast(x[9] as date) is not null) then 'signup_date' end as reason from c)
+    "p3_found": _RECORDS + r"""
 select 'etl_lines' as tbl, line_id as row_key, reason from f where reason is not null
 union all
 select 'showcase', rec_id, 'age' from showcase where age is null or not (regexp_full_match(age, '[+-]?[0-9]+') and try_cast(age as bigint) is not null)""",
+    "p3_loaded": _RECORDS + r"""
+select line_id, cast(x[1] as bigint) as id, x[2] as full_name, x[3] as email, x[4] as phone, x[5] as ssn, cast(x[6] as bigint) as age, cast(x[7] as double) as amount, x[8] as plan, x[9] as signup_date, x[10] as internal_notes
+from f where reason is null""",
+    "p6_mask_divergence": f"""
+with {_CELLS},
+m as (select feed_no, load_no, field, {_MASK} as mask, count(*) as n from cells where value is not null group by all),
+sh as (select feed_no, load_no, field, mask, n / sum(n) over (partition by feed_no, load_no, field) as share from m),
+loads as (select feed_no, load_no, lag(load_no) over (partition by feed_no order by load_no) as before from (select distinct feed_no, load_no from customer_export)),
+j as (select l.feed_no, l.load_no, field, mask, share as sh, 0.0 as old, 1 as here, 0 as there from loads l join sh using (feed_no, load_no)
+      union all select l.feed_no, l.load_no, field, mask, 0.0, share, 0, 1 from loads l join sh on sh.feed_no = l.feed_no and sh.load_no = l.before),
+d as (select feed_no, load_no, field, mask, abs(sum(sh) - sum(old)) as d, max(here) as here, max(there) as there from j group by all)
+select feed_no, load_no, field, round(sum(d) / 2, 6) as distance from d group by all having max(here) = 1 and max(there) = 1""",
 }
