@@ -22,6 +22,7 @@ def kinds(note):
         ("signed by petra lofimop", [("name", "petra lofimop")]),
         ("left msg w/ Zolerok, Yusuf, tel 555.010.2345", [("name", "Zolerok, Yusuf"), ("phone", "555.010.2345")]),
         ("per A. D'Zolerok: do not contact at +1 (555) 010-2345", [("name", "A. D'Zolerok"), ("phone", "+1 (555) 010-2345")]),
+        ("Zolerok, Sandy says the flat is vacant", [("name", "Zolerok, Sandy")]),
         ("Daniel's brother will pay", [("name", "Daniel")]),
         ("grace for the Will call queue; will decide", []),
         ("signed by Will", [("name", "Will")]),

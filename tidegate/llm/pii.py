@@ -187,6 +187,8 @@ def find_names(note: str, spans: list[tuple[int, int, str]], d: Disclosure) -> l
                     end = i + 1
         elif rare(t) and gap(i) in (", ", ",") and i + 1 < len(tokens) and tokens[i + 1].low in d.given and tokens[i + 1].low not in d.doubtful and (t.text[:1].isupper() or t.text.islower() == tokens[i + 1].text.islower()):
             end = i + 2
+        elif rare(t) and t.text[:1].isupper() and gap(i) in (", ", ",") and i + 1 < len(tokens) and rare(tokens[i + 1]) and tokens[i + 1].text[:1].isupper() and named(i + 1):
+            end = i + 2
         elif t.low in PARTICLES and surname(i) > i and (k := surname(i)) < len(tokens) and gap(k - 1) == ", " and tokens[k].low in d.given:
             end = k + 1
         if end is None:
