@@ -147,7 +147,10 @@ def mix(documents: DataFrame, targets: DataFrame, path: str | None = None, *, bl
     largest = max((r["n_docs"] for r in rows if r["fraction"] > 0), default=0)
     while True:
         final = largest <= block
-        flown = cut(open_docs.repartition("source", "block").sortWithinPartitions("source", "block").mapInArrow(_fly(final), FIELDS))
+        # an explicit number keeps many blocks from being gathered into one task for their few bytes
+        n_blocks = sum(-(-min(r["n_docs"], largest) // block) for r in rows if r["fraction"] > 0)
+        parts = max(1, min(n_blocks, max(int(spark.conf.get("spark.sql.shuffle.partitions")), n_blocks // 50)))
+        flown = cut(open_docs.repartition(parts, "source", "block").sortWithinPartitions("source", "block").mapInArrow(_fly(final), FIELDS))
         whole = flown.where(f"p <= {EPS} or p >= 1 - {EPS}").select("doc_id", F.round("p").cast("int").alias("extra"))
         drawn = whole if drawn is None else drawn.unionByName(whole)
         if final:
