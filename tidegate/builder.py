@@ -11,6 +11,7 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import DataFrame
 
 from tidegate.analyze import analyze
+from tidegate.functions.binding import bind
 from tidegate.lower import ORD, Lowered, lower, q
 from tidegate.nodes import Branch, Expr, FieldDecl, Pipeline, Program, Record, SinkDecl, SourceDecl, Stage, lift
 from tidegate.sinks.render import decimal_text
@@ -84,6 +85,11 @@ def plain(low: Lowered, sink: str) -> DataFrame:
     """A sink's rows without the order key, decimals as text at their scale."""
     rows = low.rows(sink).drop(ORD)
     kinds = dict(low.frame.schema.fields)
+    names = rows.columns
+    for n in names:
+        if kinds[n].kind == "decimal" and not kinds[n].sealed:  # its text reads the value many times
+            rows = bind(rows.withColumnRenamed(n, f"#{n}"), n, q(f"#{n}"))
+    rows = rows.select(*(q(n) for n in names))
     return rows.select(*(decimal_text(q(n)).alias(n) if kinds[n].kind == "decimal" and not kinds[n].sealed else q(n) for n in rows.columns))
 
 

@@ -71,11 +71,12 @@ class Frame:
 
 # -- decimals with a scale of their own
 def _pow10(n: Column) -> Column:
-    return F.concat(F.lit("1"), F.repeat(F.lit("0"), n)).cast("decimal(38,0)")
+    powers = F.array(*(F.lit("1" + "0" * k).cast("decimal(38,0)") for k in range(38)))  # folded to one constant
+    return F.get(powers, n)
 
 
 def _rescaled(d: Column, s: Column) -> Column:
-    return (d["u"] * _pow10(s - d["s"])).cast("decimal(38,0)")
+    return F.when(d["s"] == s, d["u"]).otherwise((d["u"] * _pow10(s - d["s"])).cast("decimal(38,0)"))
 
 
 def _dec(u: Column, s: Column, *operands: Column) -> Column:
