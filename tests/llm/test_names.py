@@ -105,3 +105,34 @@ def test_components(spark):
     links = [(i, i + 1) for i in range(30)] + [(100, 101), (101, 102), (100, 102)]
     got = dict(map(tuple, names.components(spark.createDataFrame(links, "a long, b long")).collect()))
     assert got == {**{i: 0 for i in range(31)}, 100: 100, 101: 100, 102: 100}
+
+
+def entities(spark, rows):
+    nick = spark.createDataFrame(NICK, "nickname string, given_name string")
+    return {r.rec_id: r.entity for r in names.groups(spark.createDataFrame(rows, PEOPLE), nick).collect()}
+
+
+@pytest.mark.parametrize("n", [60, 500])
+def test_common_surname(spark, n):
+    """Nicknames and initials meet under a surname that many names have, whether it is frequent or not."""
+    r = random.Random(n)
+    rows = [(i, f"{''.join(r.choice('bdfgklmnprstvz') + r.choice('aeou') for _ in range(4)).title()} Richardson", f"m{i}@x.test", f"555 01{i:05}", None, 0) for i in range(10, n)]
+    rows += [(1, "Bill Richardson", None, None, None, 0), (2, "William Richardson", None, None, None, 0), (3, "J. Richardson", None, None, None, 0), (4, "James Richardson", None, None, None, 0)]
+    rows += [(5, "Christop Richardson", None, None, None, 0), (6, "Christopher Richardson", "c@x.test", "5550200000", None, 0)]
+    g = entities(spark, rows)
+    assert g[1] == g[2] and g[3] == g[4] and g[5] == g[6]
+    assert len({g[1], g[3], g[5]}) == 3 and len(set(g.values())) >= n - 10
+
+
+def test_name_keys_hold_every_link_without_contact():
+    table = {k: frozenset(v) for k, v in {"bill": {"bill", "william"}, "will": {"will", "william"}, "william": {"william"}, "ola": {"ola", "aleksandra"}}.items()}
+    compare = names.Comparer(table, frozenset(("william", "joseph", "josephine")))
+    r = random.Random(5)
+    given = ["bill", "will", "william", "w", "wil", "joseph", "josephine", "j", "jo", "jos", "ola", "aleksandra", "van", "lee"]
+    forms = sorted({" ".join(sorted(r.sample(given, r.choice((1, 1, 2))) + r.choice((["richardson"], ["hajadesart"], ["richardson", "hajadesart"], ["lee"])))) for _ in range(150)} | {"acme inc"})
+    for a in forms:
+        for b in forms:
+            for flags in ((0, 0), (1, 0), (0, 1)):
+                if a != b and compare.same((a, "a" * flags[0], "", ""), (b, "b" * flags[1], "", "")):
+                    met = [(ra, rb) for ka, ra in compare.name_keys(a) for kb, rb in compare.name_keys(b) if ka == kb]
+                    assert any(not (ra and rb) for ra, rb in met), (a, b)

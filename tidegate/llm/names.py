@@ -24,6 +24,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from hashlib import blake2b
 from itertools import permutations
 
 import pyarrow as pa
@@ -172,6 +173,26 @@ class Comparer:
         forms = lambda ws, core: {initials(core), initials(ws)}
         return "".join(x) in forms(b, y) or "".join(y) in forms(a, x) or "".join(a) in forms(b, y) or "".join(b) in forms(a, x)
 
+    def name_keys(self, words: str) -> set[tuple[str, bool]]:
+        """(key, reaches) of a name: two names that same() can accept without an equal contact share a key under which not both reach.
+
+        ``w``: the full words with each in turn replaced by the given names it may stand for, which is what person() asks
+        for if exact.  ``s``: a long surname and the given name beside it, which shorter forms (an initial, a beginning)
+        are and longer ones reach, as shortened() asks.  ``o``: the whole name of an organisation."""
+        ws = words.split()
+        if any(w in LEGAL.values() for w in ws):
+            return {(_short(f"o{words}"), False)}
+        stands = lambda w: self.nicknames.get(w, frozenset()) | {w}
+        full, keys = [w for w in ws if len(w) > 1], set()
+        if len(full) >= 2:
+            keys |= {(_short("w" + " ".join(sorted([*full[:i], n, *full[i + 1 :]]))), False) for i, w in enumerate(full) for n in stands(w)}
+        for w in {w for w in ws if len(w) >= MIN_SUFFIX}:
+            x = max((v for v in ws if v != w and v not in PARTICLES), key=len, default="")
+            if x:
+                keys |= {(_short(f"s{w}|{n[:MAX_SUFFIX]}"), False) for n in stands(x)}
+                keys |= {(_short(f"s{w}|{x[:n]}"), True) for n in (1, *range(3, MAX_SUFFIX)) if n < len(x)}
+        return keys
+
     def same(self, a: tuple, b: tuple) -> bool:
         """Profiles are (words, email, phone, ssn)."""
         wa, wb = a[0].split(), b[0].split()
@@ -192,6 +213,11 @@ class Comparer:
         return not both[0] and self.shortened(wa, wb)
 
 
+def _short(key: str) -> str:
+    """A key of bounded length."""
+    return key if len(key) <= 64 else key[0] + blake2b(key.encode(), digest_size=16).hexdigest()
+
+
 PARTICLES = frozenset("van von de del der den da di la le".split())
 
 
@@ -206,45 +232,29 @@ def _normalise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 PROFILE = "pid long, words string, email string, phone string, ssn string"
 
 
-def _suffixes(words: str) -> set[str]:
-    """Whole words (n) and their suffixes of the indexed lengths (x); a suffix that is a whole word elsewhere meets it there too."""
-    own = [w for w in words.split() if len(w) >= 4 and w not in LEGAL.values() and w not in SECTORS]
-    return {f"n{w}" for w in own} | {f"x{w[-n:]}" for w in own for n in range(MIN_SUFFIX, min(MAX_SUFFIX, len(w)) + 1)}
-
-
 def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The keys of each profile: contact values and suffixes of name words."""
+    """The keys of each profile: its contact values."""
     for b in batches:
         keys, at = [], []
         for i, (words, email, phone, ssn) in enumerate(zip(*(b.column(k).to_pylist() for k in range(1, 5)))):
             mine = {f"e{email}"} if email else set()
             mine |= {f"p{phone}"} if phone else set()
             mine |= {f"s{ssn}"} if ssn else set()
-            mine |= _suffixes(words)
             keys += sorted(mine)
             at += [i] * len(mine)
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string())] + [c.take(pa.array(at, pa.int32())) for c in b.columns], names=["key", "pid", "words", "email", "phone", "ssn"])
 
 
-def _refine(frequent: frozenset[str]):
-    """The keys that are too common, joined with the other fields: a name's suffix with each contact value, a whole word also with the other words (only their initials unless the word is frequent, as given names are), a contact value with the name's endings and beginnings."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keys, at = [], []
-            for i, (key, words, email, phone, ssn) in enumerate(zip(*(b.column(k).to_pylist() for k in (0, 2, 3, 4, 5)))):
-                ws = words.split()
-                if key[0] in "nx":
-                    others = {f"|{x}" for x in (email, phone, ssn) if x}
-                    if key[0] == "n":
-                        others |= {f"|{w if key[1:] in frequent else w[:1]}" for w in ws if w != key[1:]}
-                else:
-                    others = {f"|{w[-4:]}" for w in ws if len(w) >= 4 and w not in LEGAL.values()} | {f"|{w[:3]}" for w in ws if len(w) >= 4 and w not in LEGAL.values()}
-                keys += [f"{key}{o}" for o in sorted(others)]
-                at += [i] * len(others)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string())] + [c.take(pa.array(at, pa.int32())) for c in b.columns[1:]], names=["key", "pid", "words", "email", "phone", "ssn"])
-
-    return run
+def _refine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Contact values that are too common, joined with the name's endings and beginnings."""
+    for b in batches:
+        keys, at = [], []
+        for i, (key, words) in enumerate(zip(*(b.column(k).to_pylist() for k in (0, 2)))):
+            ws = [w for w in words.split() if len(w) >= 4 and w not in LEGAL.values()]
+            others = {f"|{w[-4:]}" for w in ws} | {f"|{w[:3]}" for w in ws}
+            keys += [f"{key}{o}" for o in sorted(others)]
+            at += [i] * len(others)
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string())] + [c.take(pa.array(at, pa.int32())) for c in b.columns[1:]], names=["key", "pid", "words", "email", "phone", "ssn"])
 
 
 def _pairs(keyed: DataFrame) -> DataFrame:
@@ -252,6 +262,53 @@ def _pairs(keyed: DataFrame) -> DataFrame:
     return side("a").join(side("b"), "key").where("pid_a < pid_b").drop("key")
 
 
+def link_names(profiles: DataFrame, comparer) -> DataFrame:
+    """(a, b): links that need no equal contact.
+
+    They depend on the words and on which contacts are present only, so profiles equal in these are one class with its
+    smallest id.  Classes that are linked are linked through these ids: every profile to the smallest of each other
+    class, which gives the components of all pairs.  No class and no key is left out, however common."""
+    flags = [(F.col(c) != "").alias(f"has_{c}") for c in ("email", "phone", "ssn")]
+    flagged = profiles.select("pid", "words", *flags)
+    same = ["words", "has_email", "has_phone", "has_ssn"]
+    classes = cut(flagged.groupBy(*same).agg(F.min("pid").alias("pid"), F.count(F.lit(1)).alias("n")))
+
+    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compare = comparer()
+        for b in batches:
+            keys, reaches, at = [], [], []
+            for i, words in enumerate(b.column(1).to_pylist()):
+                for key, r in sorted(compare.name_keys(words)):
+                    keys.append(key)
+                    reaches.append(r)
+                    at.append(i)
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(reaches, pa.bool_())] + [c.take(pa.array(at, pa.int32())) for c in b.columns], names=["key", "reaches", "pid", *same])
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compare = comparer()
+        for b in batches:
+            hits = []
+            for a, wa, ea, pa_, sa, c, wc, ec, pc, sc in zip(*(b.column(i).to_pylist() for i in range(10))):
+                if compare.same((wa, "a" * ea, "a" * pa_, "a" * sa), (wc, "b" * ec, "b" * pc, "b" * sc)):
+                    hits.append((a, c))
+            if hits:
+                x, y = zip(*hits)
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], names=["a", "b"])
+
+    keyed = cut(classes.select("pid", *same).mapInArrow(index, "key string, reaches boolean, pid long, words string, has_email boolean, has_phone boolean, has_ssn boolean"))
+    side = lambda df, s: df.select("key", "reaches", *(F.col(c).alias(f"{c}_{s}") for c in ("pid", *same)))
+    met = side(keyed.where("not reaches"), "a").drop("reaches").join(side(keyed, "b"), "key").where("(reaches or pid_a < pid_b) and pid_a <> pid_b and not (key like 's%' and has_email_a and has_email_b)")
+    fields = [f"{c}_{s}" for s in "ab" for c in ("pid", *same)]
+    # a class whose own profiles are not linked to each other is written as a pair with itself and comes back only if they are
+    several = classes.where("n > 1")
+    own = several.select(*(F.col(c).alias(f"{c}_{s}") for s in "ab" for c in ("pid", *same)))
+    links = cut(met.select(*fields).dropDuplicates(["pid_a", "pid_b"]).unionByName(own).mapInArrow(decide, "a long, b long"))
+    members = flagged.join(several.select(*same, F.col("pid").alias("least")), same).select("pid", "least").where("pid <> least")
+    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    spread = members.join(both, members["least"] == both["a"]).select(F.least("pid", "b").alias("a"), F.greatest("pid", "b").alias("b"))
+    return links.where("a <> b").unionByName(spread).where("a <> b").distinct()
+
+
 def profiles_of(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(records with their profile's fields, profiles): ``records`` has rec_id, full_name, email, phone and ssn."""
     normal = records.select("rec_id", "full_name", "email", "phone", "ssn").where("rec_id is not null and full_name is not null").mapInArrow(_normalise, "rec_id long, full_name string, words string, email string, phone string, ssn string").where("words <> ''")
@@ -284,13 +341,13 @@ def link_profiles(profiles: DataFrame, nicknames: DataFrame, *, limit: int = LIM
 
     keyed = cut(profiles.mapInArrow(_index, f"key string, {PROFILE}"))
     sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    most = F.when(F.col("key").startswith("x"), min(SUFFIX_LIMIT, limit)).otherwise(limit)
-    rare = keyed.join(sizes.where(F.col("n") <= most).select("key"), "key")
-    refined = keyed.join(sizes.where(F.col("n") > most).select("key"), "key").select("key", "pid", "words", "email", "phone", "ssn").mapInArrow(_refine(given), f"key string, {PROFILE}")
+    rare = keyed.join(sizes.where(F.col("n") <= limit).select("key"), "key")
+    refined = keyed.join(sizes.where(F.col("n") > limit).select("key"), "key").select("key", "pid", "words", "email", "phone", "ssn").mapInArrow(_refine, f"key string, {PROFILE}")
     kept = refined.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where((F.col("n") > 1) & (F.col("n") <= 10 * limit)).select("key")
     pairs = _pairs(rare).unionByName(_pairs(refined.join(kept, "key")))
     fields = ["pid_a", "words_a", "email_a", "phone_a", "ssn_a", "pid_b", "words_b", "email_b", "phone_b", "ssn_b"]
-    return pairs.select(*fields).dropDuplicates(["pid_a", "pid_b"]).mapInArrow(decide, "a long, b long")
+    by_contact = pairs.select(*fields).dropDuplicates(["pid_a", "pid_b"]).mapInArrow(decide, "a long, b long")
+    return by_contact.unionByName(link_names(profiles, lambda: Comparer(table, given)))
 
 
 def components(links: DataFrame, rounds: int = 40) -> DataFrame:
