@@ -136,3 +136,35 @@ def test_name_keys_hold_every_link_without_contact():
                 if a != b and compare.same((a, "a" * flags[0], "", ""), (b, "b" * flags[1], "", "")):
                     met = [(ra, rb) for ka, ra in compare.name_keys(a) for kb, rb in compare.name_keys(b) if ka == kb]
                     assert any(not (ra and rb) for ra, rb in met), (a, b)
+
+
+def test_near_holds_every_accepted_pair():
+    table = {k: frozenset(v) for k, v in {"bill": {"bill", "william"}, "william": {"william"}}.items()}
+    compare = names.Comparer(table, frozenset(("william", "joseph")))
+    r = random.Random(7)
+    base = ["william hajadesart", "bob lee", "lee bill", "nafofofilm manufacturing corp", "ibm inc", "nm corp", "international bureau machines inc", "joseph kolemanipa", "li wu", "hajadesart", "van tor bill"]
+    forms = set(base)
+    for _ in range(400):
+        t = list(r.choice(base))
+        for _ in range(r.randrange(1, 4)):
+            k = r.randrange(len(t))
+            t[k : k + 1] = r.choice([[], [t[k], r.choice("aeirst")], [r.choice("aeirst")]])
+            t = t or ["a"]
+        if form := names.name_form("".join(t)):
+            forms.add(form)
+    forms = sorted(forms)
+    near = names.near(forms, forms)
+    accepted = [(i, j) for i, a in enumerate(forms) for j, b in enumerate(forms) if compare.same((a, "", "1", ""), (b, "", "1", ""))]
+    assert len(accepted) > len(forms) and all(near[i, j] for i, j in accepted)
+
+
+def test_no_cap_on_equal_names(spark):
+    """More profiles of one organisation, and of one contact value, than any block held before."""
+    rows = [(i, "Acme Inc" if i % 2 else "ACME, Inc.", f"a{i}@x.test", f"555 01{i:05}", None, 0) for i in range(450)]
+    r = random.Random(13)
+    for i in range(1000, 1450):
+        surname = "".join(r.choice("bdfgklmnprstvz") + r.choice("aeiou") for _ in range(4))
+        rows.append((i, f"William {surname.title()}son", None, "555 020 0000", None, 0))
+    rows += [(2000, "Bill Vaquerillo", "v@x.test", "5550200000", None, 0), (2001, "Vaquerilo, William", "w@x.test", "5550200000", None, 0)]
+    g = entities(spark, rows)
+    assert {g[i] for i in range(450)} == {0} and g[2000] == g[2001] == 2000

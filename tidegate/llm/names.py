@@ -1,15 +1,15 @@
 """Variant spellings of names typed by people (problem 4).
 
-Records are normalised and collapsed into profiles.  Every profile is indexed by suffixes: of its name
-words, of ``MIN_SUFFIX`` letters or more, and by its contact values as whole words.  A suffix shared by
-more than ``LIMIT`` profiles is too common by itself and is refined with the other fields first; only
-what is still too common then is discarded.  Pairs that meet under a key are compared word by word by
-the ratio of their longest common subsequence, with nicknames, initials, cut-off and joined words;
-what they share beside the name decides how close it must be.  Links make components, and the
-components' records whose names differ as written are the result.
+Records are normalised and collapsed into profiles.  Profiles that share a contact value are compared, all of
+them: names are grouped, and values of more than ``LIMIT`` names are compared in strips in which word by word
+only pairs that cannot be accepted are passed over.  Links that need no contact depend on the name and on which
+contacts are present; such classes of profiles are indexed by forms of the name that every acceptable pair shares.
+Pairs are compared word by word by the ratio of their longest common subsequence, with nicknames, initials,
+cut-off and joined words; what they share beside the name decides how close it must be.  Links make
+components, and the components' records whose names differ as written are the result.
 
-Discarded keys lose no link between equal names: profiles of one name and contact are one profile, and
-the refined keys of a contact value hold the name's own suffix and initial.
+No key is discarded: groups of equal names are linked through their smallest id, so that a key's pairs are
+pairs of different names.
 
 Defined results
 ---------------
@@ -24,17 +24,19 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 from hashlib import blake2b
 from itertools import permutations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidegate.functions.cutting import cut
 
-#: Letters of the shortest and longest suffix in the index (whole words are in it too; a longer shared suffix holds the longest), and the profiles that a whole word or contact value, and a suffix, may have by itself.
-MIN_SUFFIX, MAX_SUFFIX, LIMIT, SUFFIX_LIMIT = 8, 24, 40, 10
+#: Letters of a long surname and of the longest beginning in a key; the names of a contact value that are paired outright; names of a strip of a more common one.
+MIN_SUFFIX, MAX_SUFFIX, LIMIT, STRIP = 8, 24, 40, 500
 #: Least ratios of the longest common subsequence: of surnames, of given names, of whole names joined.
 SURNAME, GIVEN, JOINED = 0.8, 0.72, 0.86
 
@@ -95,6 +97,11 @@ def lcs_ratio(a: str, b: str) -> float:
     return 2 * (len(a) - bin(v).count("1")) / (len(a) + len(b))
 
 
+@lru_cache(100_000)
+def _trade(w: str) -> str:
+    return SHORT.get(w) or next((k for k in SECTORS if len(w) > 4 and lcs_ratio(w, k) >= 0.85), w)
+
+
 class Comparer:
     def __init__(self, nicknames: dict[str, frozenset[str]], given: frozenset[str] = frozenset()) -> None:
         """``given``: frequent words of names, which are not misspellings of each other."""
@@ -163,8 +170,7 @@ class Comparer:
 
     @staticmethod
     def company(a: list[str], b: list[str]) -> bool:
-        trade = lambda w: SHORT.get(w) or next((k for k in SECTORS if len(w) > 4 and lcs_ratio(w, k) >= 0.85), w)
-        x, y = ([trade(w) for w in ws if w not in LEGAL.values()] for ws in (a, b))
+        x, y = ([_trade(w) for w in ws if w not in LEGAL.values()] for ws in (a, b))
         own_x, own_y = (" ".join(w for w in ws if w not in SECTORS) for ws in (x, y))
         sector_x, sector_y = ({w for w in ws if w in SECTORS} for ws in (x, y))
         if own_x and own_y and lcs_ratio(own_x, own_y) >= SURNAME and (not sector_x or not sector_y or sector_x & sector_y):
@@ -229,37 +235,128 @@ def _normalise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([name_form(n) for n in name], pa.string()), pa.array(emails, pa.string()), pa.array(phones, pa.string()), pa.array([digits_key(s, 9) for s in ssn], pa.string())], names=["rec_id", "full_name", "words", "email", "phone", "ssn"])
 
 
-PROFILE = "pid long, words string, email string, phone string, ssn string"
+def _bound(left: list[str], right: list[str], least: float) -> np.ndarray:
+    """Whether two texts have letters enough in common for a subsequence ratio of ``least``."""
+    counts = []
+    for texts in (left, right):
+        c = np.zeros((len(texts), 32), np.int32)
+        for i, t in enumerate(texts):
+            for ch in t:
+                c[i, ord(ch) % 32] += 1
+        counts.append(c)
+    common = np.zeros((len(left), len(right)), np.int32)
+    for k in range(32):
+        common += np.minimum.outer(counts[0][:, k], counts[1][:, k])
+    return 2 * common >= least * np.add.outer(counts[0].sum(1), counts[1].sum(1)) - 1e-6
+
+
+def near(left: list[str], right: list[str]) -> np.ndarray:
+    """Whether person() or company() can accept the name of a row and that of a column: no pair that they accept is left out."""
+    out = np.zeros((len(left), len(right)), bool)
+    full = [[[w for w in n.split() if len(w) > 1] for n in names] for names in (left, right)]
+    known = [sorted({w for ws in side for w in ws}) for side in full]
+    if all(known):
+        # names that hold a word of the right
+        at = {w: k for k, w in enumerate(known[1])}
+        holds = [[] for _ in known[1]]
+        for j, ws in enumerate(full[1]):
+            for w in set(ws):
+                holds[at[w]].append(j)
+        alike = {w: (np.zeros(len(right), bool), np.zeros(len(right), bool)) for w in known[0]}
+        for i, k in np.argwhere(_bound(*known, min(GIVEN, SURNAME))):
+            x, y = known[0][i], known[1][k]
+            ratio = lcs_ratio(x, y)
+            if x == y or ratio >= SURNAME and min(len(x), len(y)) >= 4:
+                alike[x][0][holds[k]] = True
+            if ratio >= GIVEN:
+                alike[x][1][holds[k]] = True
+        for i, ws in enumerate(full[0]):
+            if ws:
+                out[i] = np.logical_or.reduce([alike[w][0] for w in ws]) | np.logical_and.reduce([alike[w][1] for w in ws])
+        # one word against several joined
+        one, more = ([np.array([j for j, ws in enumerate(side) if len(ws) in n], int) for side in full] for n in ((1,), (2, 3)))
+        joined = [["".join(ws) for ws in side] for side in full]
+        for rows, columns in ((one[0], more[1]), (more[0], one[1])):
+            if len(rows) and len(columns):
+                out[np.ix_(rows, columns)] |= _bound([joined[0][i] for i in rows], [joined[1][j] for j in columns], JOINED)
+    org = [np.array([any(w in LEGAL.values() for w in n.split()) for n in names], bool) for names in (left, right)]
+    if org[0].any() or org[1].any():
+        split = [[[_trade(w) for w in n.split() if w not in LEGAL.values()] for n in names] for names in (left, right)]
+        own = [[" ".join(w for w in ws if w not in SECTORS) for ws in side] for side in split]
+        either = np.logical_or.outer(*org)
+        for i, j in np.argwhere(_bound(*own, SURNAME) & either & ~out):
+            out[i, j] = lcs_ratio(own[0][i], own[1][j]) >= SURNAME
+        initials = lambda ws: "".join(w[0] for w in ws)
+        forms = [[{initials(ws), initials(n.split())} for ws, n in zip(side, names)] for side, names in zip(split, (left, right))]
+        wholes = [[{"".join(ws), "".join(n.split())} for ws, n in zip(side, names)] for side, names in zip(split, (left, right))]
+        for mine, theirs in ((forms[0], wholes[1]), (wholes[0], forms[1])):
+            where: dict[str, list[int]] = {}
+            for j, texts in enumerate(theirs):
+                for t in texts:
+                    where.setdefault(t, []).append(j)
+            for i, texts in enumerate(mine):
+                for t in texts:
+                    out[i, where.get(t, [])] = True
+    return out
+
+
+def _spread(links: DataFrame, members: DataFrame) -> DataFrame:
+    """(a, b): links (key, a, b) between the smallest profiles of groups, for all members (key, least, pid) of the groups: those of linked groups to the smallest of the other."""
+    both = links.unionByName(links.select("key", F.col("b").alias("a"), F.col("a").alias("b"))).withColumnRenamed("a", "least")
+    spread = members.where("pid <> least").join(both, ["key", "least"]).select(F.least("pid", "b").alias("a"), F.greatest("pid", "b").alias("b"))
+    return links.select("a", "b").unionByName(spread).where("a <> b").distinct()
 
 
-def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The keys of each profile: its contact values."""
-    for b in batches:
-        keys, at = [], []
-        for i, (words, email, phone, ssn) in enumerate(zip(*(b.column(k).to_pylist() for k in range(1, 5)))):
-            mine = {f"e{email}"} if email else set()
-            mine |= {f"p{phone}"} if phone else set()
-            mine |= {f"s{ssn}"} if ssn else set()
-            keys += sorted(mine)
-            at += [i] * len(mine)
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string())] + [c.take(pa.array(at, pa.int32())) for c in b.columns], names=["key", "pid", "words", "email", "phone", "ssn"])
-
-
-def _refine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Contact values that are too common, joined with the name's endings and beginnings."""
-    for b in batches:
-        keys, at = [], []
-        for i, (key, words) in enumerate(zip(*(b.column(k).to_pylist() for k in (0, 2)))):
-            ws = [w for w in words.split() if len(w) >= 4 and w not in LEGAL.values()]
-            others = {f"|{w[-4:]}" for w in ws} | {f"|{w[:3]}" for w in ws}
-            keys += [f"{key}{o}" for o in sorted(others)]
-            at += [i] * len(others)
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string())] + [c.take(pa.array(at, pa.int32())) for c in b.columns[1:]], names=["key", "pid", "words", "email", "phone", "ssn"])
+def link_contacts(profiles: DataFrame, comparer, limit: int) -> DataFrame:
+    """(a, b): links between profiles of one email, phone or ssn.
 
+    Profiles of one value and name are one group.  All names of a value are compared; those of a value of more than
+    ``limit`` names in strips of ``STRIP`` against all, where word by word the pairs that no comparison can accept are
+    passed over.  No value is left out, however common."""
+    contact = F.array(*(F.when(F.col(c) != "", F.concat(F.lit(c[0]), F.col(c))) for c in ("email", "phone", "ssn")))
+    values = profiles.select("pid", "words", F.explode(contact).alias("key")).where("key is not null")
+    groups = values.groupBy("key", "words").agg(F.min("pid").alias("pid"), F.count(F.lit(1)).alias("n"))
+    sizes = groups.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.max("n").alias("most")).where("k > 1 or most > 1")
+    keyed = cut(groups.join(sizes, "key"))
 
-def _pairs(keyed: DataFrame) -> DataFrame:
-    side = lambda s: keyed.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("pid", "words", "email", "phone", "ssn")))
-    return side("a").join(side("b"), "key").where("pid_a < pid_b").drop("key")
+    def accepts(compare: Comparer, key: str, wa: str, wb: str) -> bool:
+        contacts = [key if key[0] == c else "" for c in "eps"]
+        return compare.same((wa, *contacts), (wb, *contacts))
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compare = comparer()
+        for b in batches:
+            hits = [(key, x, y) for key, x, wx, y, wy in zip(*(b.column(i).to_pylist() for i in range(5))) if accepts(compare, key, wx, wy)]
+            if hits:
+                yield _links(hits)
+
+    def strip(t: pa.Table) -> pa.Table:
+        compare, key = comparer(), t.column("key")[0].as_py()
+        rows = list(zip(*(t.column(c).to_pylist() for c in ("pid", "words", "first"))))
+        left, right, hits = [r for r in rows if r[2]], [r for r in rows if not r[2]], []
+        for k in range(0, len(right), 4096):
+            part = right[k : k + 4096]
+            every = np.ones((len(left), len(part)), bool) if key[0] == "e" else near([r[1] for r in left], [r[1] for r in part])
+            hits += [(key, left[i][0], part[j][0]) for i, j in np.argwhere(every) if left[i][0] < part[j][0] and accepts(compare, key, left[i][1], part[j][1])]
+        return pa.Table.from_batches([_links(hits)])
+
+    side = lambda df, s: df.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("pid", "words")))
+    few = keyed.where(F.col("k") <= limit)
+    pairs = side(few, "a").join(side(few, "b"), "key").where("pid_a < pid_b")
+    own = keyed.where("n > 1").select("key", F.col("pid").alias("pid_a"), F.col("words").alias("words_a"), F.col("pid").alias("pid_b"), F.col("words").alias("words_b"))
+    strips = F.ceil(F.col("k") / STRIP)
+    hot = keyed.where(F.col("k") > limit)
+    dealt = hot.select("key", "pid", "words", F.lit(True).alias("first"), F.pmod(F.xxhash64("words"), strips).alias("strip"))
+    dealt = dealt.unionByName(hot.select("key", "pid", "words", F.lit(False).alias("first"), F.explode(F.sequence(F.lit(0).cast("long"), strips - 1)).alias("strip")))
+    schema = "key string, a long, b long"
+    links = cut(pairs.unionByName(own).mapInArrow(decide, schema).unionByName(dealt.groupBy("key", "strip").applyInArrow(strip, schema)))
+    members = values.join(keyed.where("n > 1").select("key", "words", F.col("pid").alias("least")), ["key", "words"]).select("key", "least", "pid")
+    return _spread(links, members)
+
+
+def _links(hits: list[tuple]) -> pa.RecordBatch:
+    key, a, b = zip(*hits) if hits else ((), (), ())
+    return pa.RecordBatch.from_arrays([pa.array(key, pa.string()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["key", "a", "b"])
 
 
 def link_names(profiles: DataFrame, comparer) -> DataFrame:
@@ -290,10 +387,9 @@ def link_names(profiles: DataFrame, comparer) -> DataFrame:
             hits = []
             for a, wa, ea, pa_, sa, c, wc, ec, pc, sc in zip(*(b.column(i).to_pylist() for i in range(10))):
                 if compare.same((wa, "a" * ea, "a" * pa_, "a" * sa), (wc, "b" * ec, "b" * pc, "b" * sc)):
-                    hits.append((a, c))
+                    hits.append(("", a, c))
             if hits:
-                x, y = zip(*hits)
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], names=["a", "b"])
+                yield _links(hits)
 
     keyed = cut(classes.select("pid", *same).mapInArrow(index, "key string, reaches boolean, pid long, words string, has_email boolean, has_phone boolean, has_ssn boolean"))
     side = lambda df, s: df.select("key", "reaches", *(F.col(c).alias(f"{c}_{s}") for c in ("pid", *same)))
@@ -302,11 +398,9 @@ def link_names(profiles: DataFrame, comparer) -> DataFrame:
     # a class whose own profiles are not linked to each other is written as a pair with itself and comes back only if they are
     several = classes.where("n > 1")
     own = several.select(*(F.col(c).alias(f"{c}_{s}") for s in "ab" for c in ("pid", *same)))
-    links = cut(met.select(*fields).dropDuplicates(["pid_a", "pid_b"]).unionByName(own).mapInArrow(decide, "a long, b long"))
-    members = flagged.join(several.select(*same, F.col("pid").alias("least")), same).select("pid", "least").where("pid <> least")
-    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    spread = members.join(both, members["least"] == both["a"]).select(F.least("pid", "b").alias("a"), F.greatest("pid", "b").alias("b"))
-    return links.where("a <> b").unionByName(spread).where("a <> b").distinct()
+    links = cut(met.select(*fields).dropDuplicates(["pid_a", "pid_b"]).unionByName(own).mapInArrow(decide, "key string, a long, b long"))
+    members = flagged.join(several.select(*same, F.col("pid").alias("least")), same).select(F.lit("").alias("key"), "least", "pid")
+    return _spread(links, members)
 
 
 def profiles_of(records: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -330,24 +424,8 @@ def link_profiles(profiles: DataFrame, nicknames: DataFrame, *, limit: int = LIM
     frequent = profiles.select(F.explode(F.split("words", " ")).alias("w")).where(F.length("w") > 3).groupBy("w").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= max(20, n_names / 2000))
     given = frozenset(r.w for r in frequent.collect()) | frozenset(g for v in nick.values() for g in v)
 
-    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        compare = Comparer(table, given)
-        for b in batches:
-            rows = zip(*(b.column(i).to_pylist() for i in range(10)))
-            hits = [(r[0], r[5]) for r in rows if compare.same(r[1:5], r[6:10])]
-            if hits:
-                x, y = zip(*hits)
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], names=["a", "b"])
-
-    keyed = cut(profiles.mapInArrow(_index, f"key string, {PROFILE}"))
-    sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    rare = keyed.join(sizes.where(F.col("n") <= limit).select("key"), "key")
-    refined = keyed.join(sizes.where(F.col("n") > limit).select("key"), "key").select("key", "pid", "words", "email", "phone", "ssn").mapInArrow(_refine, f"key string, {PROFILE}")
-    kept = refined.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where((F.col("n") > 1) & (F.col("n") <= 10 * limit)).select("key")
-    pairs = _pairs(rare).unionByName(_pairs(refined.join(kept, "key")))
-    fields = ["pid_a", "words_a", "email_a", "phone_a", "ssn_a", "pid_b", "words_b", "email_b", "phone_b", "ssn_b"]
-    by_contact = pairs.select(*fields).dropDuplicates(["pid_a", "pid_b"]).mapInArrow(decide, "a long, b long")
-    return by_contact.unionByName(link_names(profiles, lambda: Comparer(table, given)))
+    comparer = lambda: Comparer(table, given)
+    return link_contacts(profiles, comparer, limit).unionByName(link_names(profiles, comparer))
 
 
 def components(links: DataFrame, rounds: int = 40) -> DataFrame:
