@@ -168,3 +168,12 @@ def test_no_cap_on_equal_names(spark):
     rows += [(2000, "Bill Vaquerillo", "v@x.test", "5550200000", None, 0), (2001, "Vaquerilo, William", "w@x.test", "5550200000", None, 0)]
     g = entities(spark, rows)
     assert {g[i] for i in range(450)} == {0} and g[2000] == g[2001] == 2000
+
+
+def test_common_contact_compares_short_words(spark):
+    """Under a phone of many names a pair meets whatever its words: acronyms, short words, initials."""
+    r = random.Random(17)
+    rows = [(i, f"{''.join(r.choice('bdgkpz') + r.choice('aeiou') for _ in range(4)).title()} {''.join(r.choice('bdgkpz') + r.choice('aeiou') for _ in range(5)).title()}", None, "555 030 0000", None, 0) for i in range(10, 70)]
+    rows += [(1, "NM Corp", None, "5550300000", None, 0), (2, "Nafofofilm Manufacturing Corp", None, "5550300000", None, 0), (3, "Wu Li", "l@x.test", "5550300000", None, 0), (4, "W. Li", "w@x.test", "5550300000", None, 0)]
+    g = entities(spark, rows)
+    assert g[1] == g[2] == 1 and g[3] == g[4] == 3
