@@ -177,3 +177,9 @@ def test_common_contact_compares_short_words(spark):
     rows += [(1, "NM Corp", None, "5550300000", None, 0), (2, "Nafofofilm Manufacturing Corp", None, "5550300000", None, 0), (3, "Wu Li", "l@x.test", "5550300000", None, 0), (4, "W. Li", "w@x.test", "5550300000", None, 0)]
     g = entities(spark, rows)
     assert g[1] == g[2] == 1 and g[3] == g[4] == 3
+
+
+def test_misspelt_without_common_contact(spark):
+    rows = [(1, "Ragnar Tijolapaven", None, None, "993115870", 0), (2, "Ragnar Tiolapaven", "r@x.test", "3385551697", None, 0), (3, "Maria Tiolapaven", "m@x.test", None, None, 0), (4, "Ragnar Tijolapavem", None, "3385551698", None, 0)]
+    g = entities(spark, rows)
+    assert g[1] == g[2] and len({g[1], g[3], g[4]}) == 3

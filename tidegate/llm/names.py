@@ -39,6 +39,8 @@ from tidegate.functions.cutting import cut
 MIN_SUFFIX, MAX_SUFFIX, LIMIT, STRIP = 8, 24, 40, 500
 #: Least ratios of the longest common subsequence: of surnames, of given names, of whole names joined.
 SURNAME, GIVEN, JOINED = 0.8, 0.72, 0.86
+#: The same of a misspelt word where no contact can be compared.
+MISSPELT = 0.9
 
 # Titles, and words of companies that say nothing about which one it is.
 TITLES = frozenset("mr mrs ms miss dr prof sir jr sr ii iii phd md the".split())
@@ -168,6 +170,15 @@ class Comparer:
         short, long = sorted((x, y), key=len)
         return bool(self.nicknames.get(x, frozenset((x,))) & self.nicknames.get(y, frozenset((y,)))) or (len(short) >= 3 and long.startswith(short))
 
+    def misspelt(self, a: list[str], b: list[str]) -> bool:
+        """Whether all is the same but one word, and that ends in the same long suffix and is nearly the same."""
+        for x in {w for w in a if len(w) > MIN_SUFFIX - 1 and w not in b}:
+            for y in {w for w in b if len(w) > MIN_SUFFIX - 1 and w not in a}:
+                rest = [[w for w in ws if w not in (x, y)] for ws in (a, b)]
+                if x[-MIN_SUFFIX:] == y[-MIN_SUFFIX:] and any(len(w) > 1 for w in rest[0]) and rest[0] == rest[1] and not (x in self.given and y in self.given) and lcs_ratio(x, y) >= MISSPELT:
+                    return True
+        return False
+
     @staticmethod
     def company(a: list[str], b: list[str]) -> bool:
         x, y = ([_trade(w) for w in ws if w not in LEGAL.values()] for ws in (a, b))
@@ -184,7 +195,8 @@ class Comparer:
 
         ``w``: the full words with each in turn replaced by the given names it may stand for, which is what person() asks
         for if exact.  ``s``: a long surname and the given name beside it, which shorter forms (an initial, a beginning)
-        are and longer ones reach, as shortened() asks.  ``o``: the whole name of an organisation."""
+        are and longer ones reach, as shortened() asks.  ``x``: a long word's suffix and all other words, as misspelt() asks.
+        ``o``: the whole name of an organisation."""
         ws = words.split()
         if any(w in LEGAL.values() for w in ws):
             return {(_short(f"o{words}"), False)}
@@ -197,6 +209,9 @@ class Comparer:
             if x:
                 keys |= {(_short(f"s{w}|{n[:MAX_SUFFIX]}"), False) for n in stands(x)}
                 keys |= {(_short(f"s{w}|{x[:n]}"), True) for n in (1, *range(3, MAX_SUFFIX)) if n < len(x)}
+            others = " ".join(v for v in ws if v != w)
+            if len(others) > 1:
+                keys.add((_short(f"x{w[-MIN_SUFFIX:]}|{others}"), False))
         return keys
 
     def same(self, a: tuple, b: tuple) -> bool:
@@ -216,7 +231,11 @@ class Comparer:
         if self.person(wa, wb, True):
             initials = [{w for w in ws if len(w) == 1} for ws in (wa, wb)]
             return not all(both) or bool(initials[0]) and initials[0] == initials[1]
-        return not both[0] and self.shortened(wa, wb)
+        if not both[0] and self.shortened(wa, wb):
+            return True
+        # contacts that contradict nothing, one side's missing
+        present = [(bool(a[k]), bool(b[k])) for k in (1, 2, 3)]
+        return not any(map(all, present)) and any(map(any, present)) and self.misspelt(wa, wb)
 
 
 def _short(key: str) -> str:
