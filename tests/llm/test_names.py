@@ -32,7 +32,9 @@ def test_subsequence_ratio():
 @pytest.fixture(scope="module")
 def compare():
     table = {"bill": {"bill", "william"}, "william": {"william"}, "tina": {"tina", "christina"}, "joseph": {"joseph"}, "josephine": {"josephine"}}
-    return names.Comparer({k: frozenset(v) for k, v in table.items()}, frozenset(("joseph", "josephine", "william", "christina")))
+    sectors = frozenset("manufacturing foods chemicals shipping".split())
+    shares = {"joseph": 0.02, "josephine": 0.02, "william": 0.02, "christina": 0.02, "manufacturing": 0.005, "foods": 0.005, "chemicals": 0.005, "shipping": 0.005}
+    return names.Comparer({k: frozenset(v) for k, v in table.items()}, frozenset(("joseph", "josephine", "william", "christina")), sectors, shares)
 
 
 @pytest.mark.parametrize(
@@ -153,7 +155,7 @@ def test_near_holds_every_accepted_pair():
         if form := names.name_form("".join(t)):
             forms.add(form)
     forms = sorted(forms)
-    near = names.near(forms, forms)
+    near = names.near(forms, forms, compare)
     accepted = [(i, j) for i, a in enumerate(forms) for j, b in enumerate(forms) if compare.same((a, "", "1", ""), (b, "", "1", ""))]
     assert len(accepted) > len(forms) and all(near[i, j] for i, j in accepted)
 
@@ -183,3 +185,79 @@ def test_misspelt_without_common_contact(spark):
     rows = [(1, "Ragnar Tijolapaven", None, None, "993115870", 0), (2, "Ragnar Tiolapaven", "r@x.test", "3385551697", None, 0), (3, "Maria Tiolapaven", "m@x.test", None, None, 0), (4, "Ragnar Tijolapavem", None, "3385551698", None, 0)]
     g = entities(spark, rows)
     assert g[1] == g[2] and len({g[1], g[3], g[4]}) == 3
+
+
+@pytest.mark.parametrize(
+    "name, email, spelt",
+    [
+        ("Hkoalidar, Jo", "hokalidar_jos@x.test", "hokalidar jo"),
+        ("Rboert Lavavidan", "robert.lavavidan+shop@x.test", "lavavidan robert"),
+        ("Patty Dirodomiby", "patricia.dirodomiby@x.test", "dirodomiby patricia"),
+        ("J. Behazolirg", "jamesbehazolirg+crm@x.test", "behazolirg james"),
+        ("Josephine Pijaderoth", "jpijageroth7@x.test", "josephine pijageroth"),
+        ("Maria Behazolirg", "james.behazolirg@x.test", "behazolirg maria"),
+        ("Kegtzanart Foods Ltd", "info.kegezanart@x.test", "kegezanart foods ltd"),
+        ("Bob Lee", "", "bob lee"),
+        ("Bob Lee", "a.b.c.d.e.f@x.test", "bob lee"),
+    ],
+)
+def test_reading(name, email, spelt):
+    assert names.reading(names.name_form(name), email, {"bill": frozenset(("bill", "william"))}) == spelt
+
+
+@pytest.mark.parametrize(
+    "a, b, beside, same",
+    [
+        ("William Hajadesart", "Bill Hajadesart", 3, True),
+        ("William Hajadesart", "Bill Hajadesart", 300, False),
+        ("W. Hajadesart", "William Hajadesart", 3, True),
+        ("W. Q. Hajadesart", "William Q. Hajadesart", 3, True),
+        ("W. Q. Hajadesart", "William P. Hajadesart", 3, False),
+        ("C. Hajadesart", "Tina Hajadesart", 3, True),
+        ("Chris Hajadesart", "Christina Hajadesart", 3, True),
+        ("Joseph Hajadesart", "Josephine Hajadesart", 2, False),
+        ("Maria Hajadesart", "William Hajadesart", 2, False),
+        ("Zasipejend Chem. GmbH", "Chemicals Zasipejend", 2, True),
+        ("Zasipejend Shpg Ltd", "Zasipejend Shipping Ltd", 2, True),
+        ("Zasipejend Foods Ltd", "Zasipejend Shipping Ltd", 2, False),
+        ("Zasipejend Foods Ltd", "Hajadesart Foods Ltd", 2, False),
+        ("Bob Lee", "B. Lee", 2, False),
+    ],
+)
+def test_rare_names_alone(compare, a, b, beside, same):
+    """Without any common contact; ``beside`` says how many given names the surname has in the corpus."""
+    x, y = names.name_form(a), names.name_form(b)
+    k = [{w: beside for w in n.split() if len(w) >= names.MIN_SUFFIX} for n in (x, y)]
+    assert compare.same((x, "a@x.t", "1", "1"), (y, "b@x.t", "2", "2"), *k) is same
+    assert compare.same((y, "b@x.t", "2", "2"), (x, "a@x.t", "1", "1"), *k[::-1]) is same
+    if same:
+        met = [(ra, rb) for ka, ra in compare.name_keys(x) for kb, rb in compare.name_keys(y) if ka == kb]
+        assert any(not (ra and rb) for ra, rb in met)
+
+
+def test_changed_contacts(spark):
+    """Everything but the name has changed: suffix keys alone bring the pairs together."""
+    r, rows = random.Random(23), []
+    for i in range(400):
+        surname = "".join(r.choice("bdfgklmnprstvz") + r.choice("aeiou") for _ in range(4)).title() + "sk"
+        first = ("Joseph", "William", "Christina", "Frederick", "Zelda", "Ragnar", "Ulrike", "Amara")[i % 8]
+        short = {"William": "Bill", "Frederick": "Fritz"}.get(first, first[0] + ".")
+        rows += [(4 * i, f"{first} {surname}", f"a{i}@x.test", f"555 01{i:05}", None, 0), (4 * i + 1, f"{surname}, {short}", f"b{i}@y.test", f"555 02{i:05}", None, 0)]
+        rows.append((4 * i + 2, f"{first} {surname[:4]}{surname[4]}{surname[4:]}", f"{first}.{surname}@z.test", f"555 03{i:05}", None, 0))
+    g = entities(spark, rows)
+    assert all(g[4 * i] == g[4 * i + 1] == g[4 * i + 2] for i in range(400))
+    assert len(set(g.values())) >= 395
+    table = {"bill": frozenset(("bill", "william")), "william": frozenset(("william",))}
+    compare = names.Comparer(table, frozenset(("william", "joseph")))
+    for a, b in (("hajadesart william", "hajadesart w"), ("hajadesart william", "hajadesrt william")):
+        met = {ka for ka, _ in compare.name_keys(a)} & {kb for kb, _ in compare.name_keys(b)}
+        assert {k[0] for k in met} <= {"s", "x"}
+
+
+def test_components_of_long_chains(spark):
+    """More rounds than any fixed number: a path whose ids rise and fall."""
+    r = random.Random(3)
+    ids = list(range(600))
+    r.shuffle(ids)
+    got = dict(map(tuple, names.components(spark.createDataFrame(list(zip(ids, ids[1:])), "a long, b long")).collect()))
+    assert set(got.values()) == {0} and len(got) == 600

@@ -33,20 +33,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegate.functions.cutting import cut
+from tidegate.functions.cutting import cut, store
 
-#: Letters of a long surname and of the longest beginning in a key; the names of a contact value that are paired outright; names of a strip of a more common one.
-MIN_SUFFIX, MAX_SUFFIX, LIMIT, STRIP = 8, 24, 40, 500
+#: Letters of an indexed suffix, of a surname that is long whatever its frequency, and of the longest beginning in a key; the names of a contact value that are paired outright; names of a strip of a more common one.
+MIN_SUFFIX, LONG, MAX_SUFFIX, LIMIT, STRIP = 6, 8, 24, 40, 500
+#: Records of one strip of an entity when its pairs are written out.
+HOT = 2000
 #: Least ratios of the longest common subsequence: of surnames, of given names, of whole names joined.
 SURNAME, GIVEN, JOINED = 0.8, 0.72, 0.86
-#: The same of a misspelt word where no contact can be compared.
-MISSPELT = 0.9
+#: The same of a misspelt word where no contact can be compared, and of a word and its spelling in the email.
+MISSPELT, RESPELT = 0.9, 0.8
+#: Most people expected to bear a name by chance if names alone decide, and the share of a word that is not frequent.
+NAMESAKES, SCARCE = 1.0, 1 / 2000
 
-# Titles, and words of companies that say nothing about which one it is.
+# Titles, and legal forms of companies.
 TITLES = frozenset("mr mrs ms miss dr prof sir jr sr ii iii phd md the".split())
 LEGAL = {"inc": "inc", "incorporated": "inc", "llc": "llc", "ltd": "ltd", "limited": "ltd", "gmbh": "gmbh", "corp": "corp", "corporation": "corp", "co": "co", "company": "co", "sa": "sa", "ag": "ag", "plc": "plc"}
-SHORT = {"intl": "international", "mfg": "manufacturing", "tech": "technologies", "eng": "engineering", "svcs": "services", "ins": "insurance", "constr": "construction", "hldgs": "holdings", "pub": "publishing", "chem": "chemicals", "instr": "instruments", "log": "logistics", "ship": "shipping", "tex": "textiles"}
-SECTORS = tuple(sorted({*SHORT.values(), "foods"}))
+FORMS = frozenset(LEGAL.values())
 SPECIAL = str.maketrans({"ł": "l", "Ł": "l", "ß": "ss", "ø": "o", "æ": "ae", "œ": "oe", "đ": "d", "’": "'", "​": "", "﻿": "", "­": ""})
 
 
@@ -67,7 +70,33 @@ def name_words(name: str | None) -> list[str]:
 def name_form(name: str | None) -> str:
     """The words that stand for a name: in order of writing for companies, else sorted."""
     words = name_words(name)
-    return " ".join(words if any(w in LEGAL.values() for w in words) else sorted(words))
+    return " ".join(words if any(w in FORMS for w in words) else sorted(words))
+
+
+def reading(words: str, email: str, nicknames: dict[str, frozenset[str]]) -> str:
+    """The name as the email spells it, as far as the email holds it: a misspelt word that a token of its local part
+    ends in correctly is replaced, and so is a given name by the whole one beside the surname.  Else the words as they are."""
+    tokens = re.findall(r"[^\W\d_]+", email.split("@")[0].split("+")[0])
+    ws = words.split()
+    if not tokens or len(tokens) > 4 or len(ws) > 8:
+        return words
+    out = list(ws)
+    for i, w in enumerate(ws):
+        if len(w) >= 4 and w not in FORMS and not any(w in t for t in tokens):
+            ends = {t[-n:] for t in tokens for n in (len(w) - 1, len(w), len(w) + 1) if n == len(t) or len(w) >= MIN_SUFFIX and n < len(t) and n >= MIN_SUFFIX}
+            best = max(((lcs_ratio(w, e), e) for e in ends), default=(0, ""))
+            if best[0] >= RESPELT:
+                out[i] = best[1]
+    if not any(w in FORMS for w in ws):
+        for w in {w for w in out if len(w) >= MIN_SUFFIX}:
+            first = next((t for t in tokens if t != w and len(t) >= 4), "") if w in tokens and len(tokens) == 2 else tokens[0][: -len(w)] if len(tokens) == 1 and tokens[0].endswith(w) and len(tokens[0]) >= len(w) + 4 else ""
+            rest = [v for v in out if v != w and v not in PARTICLES]
+            if len(first) >= 4 and rest and first not in out:
+                x = max(rest, key=len)
+                if len(rest) == 1 and x[0] == first[0] or first in nicknames.get(x, ()) or len(x) > 1 and first.startswith(x):
+                    out[out.index(x)] = first
+                    break
+    return words if out == ws else " ".join(out if any(w in FORMS for w in out) else sorted(out))
 
 
 def email_key(text: str | None) -> str:
@@ -99,15 +128,90 @@ def lcs_ratio(a: str, b: str) -> float:
     return 2 * (len(a) - bin(v).count("1")) / (len(a) + len(b))
 
 
-@lru_cache(100_000)
-def _trade(w: str) -> str:
-    return SHORT.get(w) or next((k for k in SECTORS if len(w) > 4 and lcs_ratio(w, k) >= 0.85), w)
+def _inside(short: str, long: str) -> bool:
+    """Whether the letters of one word stand in another in their order."""
+    rest = iter(long)
+    return all(c in rest for c in short)
 
 
 class Comparer:
-    def __init__(self, nicknames: dict[str, frozenset[str]], given: frozenset[str] = frozenset()) -> None:
-        """``given``: frequent words of names, which are not misspellings of each other."""
-        self.nicknames, self.given = nicknames, given
+    def __init__(self, nicknames: dict[str, frozenset[str]], given: frozenset[str] = frozenset(), sectors: frozenset[str] = frozenset(), shares: dict[str, float] | None = None) -> None:
+        """``given``: frequent words of names, which are not misspellings of each other; ``sectors``: those of them that stand
+        beside legal forms, which say little about which company it is; ``shares``: the share of names that hold a frequent word."""
+        self.nicknames, self.given, self.sectors, self.shares = nicknames, given, sectors, shares or {}
+        self.stands_for: dict[str, frozenset[str]] = {}
+        self.weights: dict[str, float] = {}
+
+    def trade(self, w: str) -> frozenset[str]:
+        """The sector words that a word may stand for: itself, misspelt, cut off or shortened."""
+        if w not in self.stands_for:
+            if len(self.stands_for) > 100_000:
+                self.stands_for.clear()
+            hits = {w} & self.sectors or {k for k in self.sectors if len(w) > 2 and w[0] == k[0] and _inside(w, k) or len(w) > 4 and lcs_ratio(w, k) >= 0.85}
+            self.stands_for[w] = frozenset(hits)
+        return self.stands_for[w]
+
+    def weight(self, w: str) -> float:
+        """The share of names with a given name that begins with a word or that it may stand for."""
+        if w not in self.weights:
+            if len(self.weights) > 100_000:
+                self.weights.clear()
+            stands = self.nicknames.get(w, frozenset()) | {w}
+            self.weights[w] = max(SCARCE, sum(share for k, share in self.shares.items() if k in stands or k.startswith(w)))
+        return self.weights[w]
+
+    def split_firm(self, ws: list[str]) -> tuple[list[str], list[frozenset[str]]]:
+        """A company's own words and its sectors."""
+        ws = [w for w in ws if w not in FORMS]
+        trades = [self.trade(w) for w in ws]
+        return [w for w, t in zip(ws, trades) if not t], [t for t in trades if t]
+
+    def fits(self, x: str, y: str) -> bool:
+        """Whether two given names are the same, or one an initial, a nickname or a beginning of the other."""
+        nick = lambda w: self.nicknames.get(w, frozenset((w,)))
+        if x == y or nick(x) & nick(y):
+            return True
+        short, long = sorted((x, y), key=len)
+        if len(short) == 1:
+            return any(n[0] == short for n in nick(long) | {long})
+        if x in self.given and y in self.given and len(short) > 4:
+            return False
+        return len(short) >= 3 and any(n.startswith(short) for n in nick(long) | {long})
+
+    def alone(self, a: list[str], b: list[str], beside_a: dict[str, int], beside_b: dict[str, int]) -> bool:
+        """Whether two names are so rare that they alone make it one person or company, whatever the contacts.
+
+        ``beside``: how many different words stand beside a word in all names.  Times the share of the given name it is how
+        many others are expected to be called so by chance; at most ``NAMESAKES`` may be."""
+        if any(w in FORMS for w in (*a, *b)) or (self.sectors and any(self.trade(w) for w in a) and any(self.trade(w) for w in b)):
+            (own_a, sectors_a), (own_b, sectors_b) = self.split_firm(a), self.split_firm(b)
+            if sorted(own_a) != sorted(own_b) or not any(len(w) >= MIN_SUFFIX for w in own_a):
+                return False
+            if not sectors_a and not sectors_b and not (any(w in FORMS for w in a) and any(w in FORMS for w in b)):
+                return False
+            apart = max(max(beside_a.get(w, 1), beside_b.get(w, 1)) for w in own_a if len(w) >= MIN_SUFFIX) * max((self.weight(k) for t in (*sectors_a, *sectors_b) for k in t), default=SCARCE)
+            return apart <= NAMESAKES and (not sectors_a or not sectors_b or any(x & y for x in sectors_a for y in sectors_b))
+        for w in {w for w in a if w in b and len(w) >= MIN_SUFFIX and w not in self.given}:
+            rest = [[v for v in ws if v != w and v not in PARTICLES] for ws in (a, b)]
+            full = [sorted((v for v in ws if len(v) > 1), key=len, reverse=True) for ws in rest]
+            one = [{v for v in ws if len(v) == 1} for ws in rest]
+            if not rest[0] or not rest[1]:
+                continue
+            agree = lambda x, y: not x or not y or bool(x & y)
+            if full[0] and full[1]:
+                x, y = full[0][0], full[1][0]
+                met = self.fits(x, y) and agree(one[0], one[1]) and len(full[0]) == len(full[1])
+            elif not full[0] and not full[1]:
+                x = y = min(one[0] & one[1], default="")
+                met = bool(x) and agree(one[0] - {x}, one[1] - {x})
+            else:
+                k = 0 if full[1] else 1
+                y = full[1 - k][0]
+                x = next((v for v in sorted(one[k]) if self.fits(v, y) and agree(one[k] - {v}, one[1 - k])), "")
+                met = bool(x)
+            if met and max(beside_a.get(w, 1), beside_b.get(w, 1)) * max(self.weight(x), self.weight(y)) <= NAMESAKES:
+                return True
+        return False
 
     def given_match(self, a: str, b: str) -> bool:
         """Whether two words may be one given name: equal, initial, nickname, cut off or mistyped."""
@@ -153,7 +257,7 @@ class Comparer:
 
     def shortened(self, a: list[str], b: list[str]) -> bool:
         """Whether a long surname is the same and the given name at most an initial, a nickname or cut off."""
-        shared = [w for w in a if w in b and len(w) >= MIN_SUFFIX]
+        shared = [w for w in a if w in b and len(w) >= LONG]
         if not shared:
             return False
         rest = [sorted((w for w in ws if w != shared[0] and w not in PARTICLES), key=len, reverse=True) for ws in (a, b)]
@@ -179,12 +283,10 @@ class Comparer:
                     return True
         return False
 
-    @staticmethod
-    def company(a: list[str], b: list[str]) -> bool:
-        x, y = ([_trade(w) for w in ws if w not in LEGAL.values()] for ws in (a, b))
-        own_x, own_y = (" ".join(w for w in ws if w not in SECTORS) for ws in (x, y))
-        sector_x, sector_y = ({w for w in ws if w in SECTORS} for ws in (x, y))
-        if own_x and own_y and lcs_ratio(own_x, own_y) >= SURNAME and (not sector_x or not sector_y or sector_x & sector_y):
+    def company(self, a: list[str], b: list[str]) -> bool:
+        x, y = ([w for w in ws if w not in FORMS] for ws in (a, b))
+        (own_x, sectors_x), (own_y, sectors_y) = self.split_firm(a), self.split_firm(b)
+        if own_x and own_y and lcs_ratio(" ".join(own_x), " ".join(own_y)) >= SURNAME and (not sectors_x or not sectors_y or any(s & t for s in sectors_x for t in sectors_y)):
             return True
         initials = lambda ws: "".join(w[0] for w in ws)
         forms = lambda ws, core: {initials(core), initials(ws)}
@@ -194,33 +296,43 @@ class Comparer:
         """(key, reaches) of a name: two names that same() can accept without an equal contact share a key under which not both reach.
 
         ``w``: the full words with each in turn replaced by the given names it may stand for, which is what person() asks
-        for if exact.  ``s``: a long surname and the given name beside it, which shorter forms (an initial, a beginning)
-        are and longer ones reach, as shortened() asks.  ``x``: a long word's suffix and all other words, as misspelt() asks.
-        ``o``: the whole name of an organisation."""
+        for if exact.  ``s``: the longest suffix of a surname, the whole word, refined by the given name beside it, which shorter
+        forms (an initial, a beginning) are and longer ones reach, as shortened() and alone() ask.  ``x``: a long word's suffix
+        of ``MIN_SUFFIX`` letters, which any longer common suffix ends in, refined by all other words, as misspelt() asks.
+        ``o``: a company's own words."""
         ws = words.split()
-        if any(w in LEGAL.values() for w in ws):
-            return {(_short(f"o{words}"), False)}
         stands = lambda w: self.nicknames.get(w, frozenset()) | {w}
         full, keys = [w for w in ws if len(w) > 1], set()
+        own, sectors = self.split_firm(ws)
+        firm = any(w in FORMS for w in ws)
+        if firm or sectors:
+            keys |= {(_short(f"o{' '.join(sorted(own))}"), False)} if own else set()
+            keys |= {(_short(f"O{words}"), False)} if firm else set()
+        if firm:
+            return keys
         if len(full) >= 2:
             keys |= {(_short("w" + " ".join(sorted([*full[:i], n, *full[i + 1 :]]))), False) for i, w in enumerate(full) for n in stands(w)}
-        for w in {w for w in ws if len(w) >= MIN_SUFFIX}:
-            x = max((v for v in ws if v != w and v not in PARTICLES), key=len, default="")
-            if x:
-                keys |= {(_short(f"s{w}|{n[:MAX_SUFFIX]}"), False) for n in stands(x)}
-                keys |= {(_short(f"s{w}|{x[:n]}"), True) for n in (1, *range(3, MAX_SUFFIX)) if n < len(x)}
+        for w in {w for w in ws if len(w) >= LONG or len(w) >= MIN_SUFFIX and w not in self.given}:
+            rest = [v for v in ws if v != w and v not in PARTICLES]
+            x = max(rest, key=len, default="")
+            for v in {x} if len(x) > 1 else set(rest):
+                keys |= {(_short(f"s{w}|{n[:MAX_SUFFIX]}"), False) for n in stands(v)}
+                keys |= {(_short(f"s{w}|{v[:n]}"), True) for n in range(3, MAX_SUFFIX) if n < len(v)}
+                keys |= {(_short(f"s{w}|{n[:k]}"), True) for n in stands(v) for k in (1, *range(3, MAX_SUFFIX)) if k < len(n)}
             others = " ".join(v for v in ws if v != w)
             if len(others) > 1:
                 keys.add((_short(f"x{w[-MIN_SUFFIX:]}|{others}"), False))
         return keys
 
-    def same(self, a: tuple, b: tuple) -> bool:
-        """Profiles are (words, email, phone, ssn)."""
+    def same(self, a: tuple, b: tuple, beside_a: dict[str, int] | None = None, beside_b: dict[str, int] | None = None) -> bool:
+        """Profiles are (words, email, phone, ssn); ``beside`` as in alone(), which is not asked without it."""
         wa, wb = a[0].split(), b[0].split()
         if not wa or not wb:
             return False
         email, phone, ssn = (bool(a[k]) and a[k] == b[k] for k in (1, 2, 3))
-        org = any(w in LEGAL.values() for w in wa), any(w in LEGAL.values() for w in wb)
+        if beside_a is not None and self.alone(wa, wb, beside_a, beside_b or {}):
+            return True
+        org = any(w in FORMS for w in wa), any(w in FORMS for w in wb)
         if any(org):
             return (email or phone or ssn) and self.company(wa, wb) or wa == wb and all(org)
         if email:
@@ -254,6 +366,27 @@ def _normalise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([name_form(n) for n in name], pa.string()), pa.array(emails, pa.string()), pa.array(phones, pa.string()), pa.array([digits_key(s, 9) for s in ssn], pa.string())], names=["rec_id", "full_name", "words", "email", "phone", "ssn"])
 
 
+def _read(nicknames: dict[str, frozenset[str]]):
+    """Adds the name as the email spells it to each profile."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            words, email = (b.column(k).to_pylist() for k in ("words", "email"))
+            yield b.append_column("spelt", pa.array([reading(w, e, nicknames) for w, e in zip(words, email)], pa.string()))
+
+    return run
+
+
+def _beside(forms: DataFrame) -> DataFrame:
+    """(words, beside): for each word of a name how many different words are the longest beside it in all ``forms``; 0 for short words."""
+    words = F.split("words", " ")
+    at = forms.select("words", F.posexplode(words).alias("pos", "w")).where(F.length("w") >= MIN_SUFFIX)
+    others = F.expr("array_max(transform(array_remove(split(words, ' '), w), v -> struct(length(v) as n, v as v)))")
+    counts = at.select("w", others["v"].alias("other")).distinct().groupBy("w").agg(F.count("other").cast("int").alias("k"))
+    known = at.join(counts, "w").groupBy("words").agg(F.map_from_entries(F.collect_list(F.struct("pos", "k"))).alias("k"))  # as many entries as the name has words
+    return known.select("words", F.transform(F.sequence(F.lit(0), F.size(words) - 1), lambda i: F.coalesce(F.col("k")[i], F.lit(0))).alias("beside"))
+
+
 def _bound(left: list[str], right: list[str], least: float) -> np.ndarray:
     """Whether two texts have letters enough in common for a subsequence ratio of ``least``."""
     counts = []
@@ -269,7 +402,7 @@ def _bound(left: list[str], right: list[str], least: float) -> np.ndarray:
     return 2 * common >= least * np.add.outer(counts[0].sum(1), counts[1].sum(1)) - 1e-6
 
 
-def near(left: list[str], right: list[str]) -> np.ndarray:
+def near(left: list[str], right: list[str], compare: Comparer) -> np.ndarray:
     """Whether person() or company() can accept the name of a row and that of a column: no pair that they accept is left out."""
     out = np.zeros((len(left), len(right)), bool)
     full = [[[w for w in n.split() if len(w) > 1] for n in names] for names in (left, right)]
@@ -298,10 +431,10 @@ def near(left: list[str], right: list[str]) -> np.ndarray:
         for rows, columns in ((one[0], more[1]), (more[0], one[1])):
             if len(rows) and len(columns):
                 out[np.ix_(rows, columns)] |= _bound([joined[0][i] for i in rows], [joined[1][j] for j in columns], JOINED)
-    org = [np.array([any(w in LEGAL.values() for w in n.split()) for n in names], bool) for names in (left, right)]
+    org = [np.array([any(w in FORMS for w in n.split()) for n in names], bool) for names in (left, right)]
     if org[0].any() or org[1].any():
-        split = [[[_trade(w) for w in n.split() if w not in LEGAL.values()] for n in names] for names in (left, right)]
-        own = [[" ".join(w for w in ws if w not in SECTORS) for ws in side] for side in split]
+        split = [[[w for w in n.split() if w not in FORMS] for n in names] for names in (left, right)]
+        own = [[" ".join(compare.split_firm(ws)[0]) for ws in side] for side in split]
         either = np.logical_or.outer(*org)
         for i, j in np.argwhere(_bound(*own, SURNAME) & either & ~out):
             out[i, j] = lcs_ratio(own[0][i], own[1][j]) >= SURNAME
@@ -355,7 +488,7 @@ def link_contacts(profiles: DataFrame, comparer, limit: int) -> DataFrame:
         left, right, hits = [r for r in rows if r[2]], [r for r in rows if not r[2]], []
         for k in range(0, len(right), 4096):
             part = right[k : k + 4096]
-            every = np.ones((len(left), len(part)), bool) if key[0] == "e" else near([r[1] for r in left], [r[1] for r in part])
+            every = np.ones((len(left), len(part)), bool) if key[0] == "e" else near([r[1] for r in left], [r[1] for r in part], compare)
             hits += [(key, left[i][0], part[j][0]) for i, j in np.argwhere(every) if left[i][0] < part[j][0] and accepts(compare, key, left[i][1], part[j][1])]
         return pa.Table.from_batches([_links(hits)])
 
@@ -381,13 +514,17 @@ def _links(hits: list[tuple]) -> pa.RecordBatch:
 def link_names(profiles: DataFrame, comparer) -> DataFrame:
     """(a, b): links that need no equal contact.
 
-    They depend on the words and on which contacts are present only, so profiles equal in these are one class with its
-    smallest id.  Classes that are linked are linked through these ids: every profile to the smallest of each other
-    class, which gives the components of all pairs.  No class and no key is left out, however common."""
+    They depend on the words, on how rare these are and on which contacts are present only, so profiles equal in these are
+    one class with its smallest id.  A profile whose email spells its name otherwise belongs to the class of that spelling
+    too.  Classes that are linked are linked through these ids: every profile to the smallest of each other class, which
+    gives the components of all pairs.  No class and no key is left out, however common.  A pair is compared where it
+    meets and only its links are shuffled."""
     flags = [(F.col(c) != "").alias(f"has_{c}") for c in ("email", "phone", "ssn")]
-    flagged = profiles.select("pid", "words", *flags)
+    flagged = profiles.select("pid", F.explode(F.array_distinct(F.array("words", "spelt"))).alias("words"), *flags)
     same = ["words", "has_email", "has_phone", "has_ssn"]
-    classes = cut(flagged.groupBy(*same).agg(F.min("pid").alias("pid"), F.count(F.lit(1)).alias("n")))
+    sizes = cut(flagged.groupBy(*same).agg(F.min("pid").alias("pid"), F.count(F.lit(1)).alias("n")))
+    classes = cut(sizes.join(_beside(sizes.select("words").distinct()), "words", "left").select("pid", *same, "n", "beside"))
+    fields = ["pid", *same, "beside"]
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compare = comparer()
@@ -398,26 +535,31 @@ def link_names(profiles: DataFrame, comparer) -> DataFrame:
                     keys.append(key)
                     reaches.append(r)
                     at.append(i)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(reaches, pa.bool_())] + [c.take(pa.array(at, pa.int32())) for c in b.columns], names=["key", "reaches", "pid", *same])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(reaches, pa.bool_())] + [c.take(pa.array(at, pa.int32())) for c in b.columns], names=["key", "reaches", *fields])
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compare = comparer()
         for b in batches:
-            hits = []
-            for a, wa, ea, pa_, sa, c, wc, ec, pc, sc in zip(*(b.column(i).to_pylist() for i in range(10))):
-                if compare.same((wa, "a" * ea, "a" * pa_, "a" * sa), (wc, "b" * ec, "b" * pc, "b" * sc)):
+            hits, seen = [], set()
+            for a, wa, ea, pa_, sa, ka, c, wc, ec, pc, sc, kc in zip(*(b.column(i).to_pylist() for i in range(12))):
+                if (a, c) in seen:
+                    continue
+                seen.add((a, c))
+                near_a, near_c = (dict(zip(w.split(" "), k or ())) for w, k in ((wa, ka), (wc, kc)))
+                if compare.same((wa, "a" * ea, "a" * pa_, "a" * sa), (wc, "b" * ec, "b" * pc, "b" * sc), near_a, near_c):
                     hits.append(("", a, c))
             if hits:
                 yield _links(hits)
 
-    keyed = cut(classes.select("pid", *same).mapInArrow(index, "key string, reaches boolean, pid long, words string, has_email boolean, has_phone boolean, has_ssn boolean"))
-    side = lambda df, s: df.select("key", "reaches", *(F.col(c).alias(f"{c}_{s}") for c in ("pid", *same)))
-    met = side(keyed.where("not reaches"), "a").drop("reaches").join(side(keyed, "b"), "key").where("(reaches or pid_a < pid_b) and pid_a <> pid_b and not (key like 's%' and has_email_a and has_email_b)")
-    fields = [f"{c}_{s}" for s in "ab" for c in ("pid", *same)]
+    keyed = cut(classes.select(*fields).mapInArrow(index, "key string, reaches boolean, pid long, words string, has_email boolean, has_phone boolean, has_ssn boolean, beside array<int>"))
+    side = lambda df, s: df.select("key", "reaches", *(F.col(c).alias(f"{c}_{s}") for c in fields))
+    met = side(keyed.where("not reaches"), "a").drop("reaches").join(side(keyed, "b"), "key").where("(reaches or pid_a < pid_b) and (pid_a <> pid_b or words_a <> words_b)")
     # a class whose own profiles are not linked to each other is written as a pair with itself and comes back only if they are
     several = classes.where("n > 1")
-    own = several.select(*(F.col(c).alias(f"{c}_{s}") for s in "ab" for c in ("pid", *same)))
-    links = cut(met.select(*fields).dropDuplicates(["pid_a", "pid_b"]).unionByName(own).mapInArrow(decide, "key string, a long, b long"))
+    both = [f"{c}_{s}" for s in "ab" for c in fields]
+    own = several.select(*(F.col(c).alias(f"{c}_{s}") for s in "ab" for c in fields))
+    found = "key string, a long, b long"
+    links = cut(met.select(*both).mapInArrow(decide, found).unionByName(own.mapInArrow(decide, found)).distinct())
     members = flagged.join(several.select(*same, F.col("pid").alias("least")), same).select(F.lit("").alias("key"), "least", "pid")
     return _spread(links, members)
 
@@ -428,47 +570,60 @@ def profiles_of(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     return normal, normal.groupBy("words", "email", "phone", "ssn").agg(F.min("rec_id").alias("pid")).select("pid", "words", "email", "phone", "ssn")
 
 
-def link_profiles(profiles: DataFrame, nicknames: DataFrame, *, limit: int = LIMIT) -> DataFrame:
-    """(a, b): links between profile ids."""
+def _nicknames(nicknames: DataFrame) -> dict[str, frozenset[str]]:
+    """The given names a nickname may stand for; a given name stands for itself.  Two columns of a table of names: its size is that of a language, not of the data."""
     nick: dict[str, set[str]] = {}
-    for r in nicknames.select("nickname", "given_name").limit(20_000).collect():
+    for r in nicknames.select("nickname", "given_name").distinct().toLocalIterator():
         for n in name_words(r.nickname)[:1]:
             nick.setdefault(n, {n}).update(name_words(r.given_name)[:1])
-    # a given name stands for itself
     for n in {g for v in nick.values() for g in v}:
         nick.setdefault(n, {n}).add(n)
-    table = {k: frozenset(v) for k, v in nick.items()}
-    # words of at least one in two thousand names: at most 2,000 times the words a name has
-    n_names = profiles.count()
-    frequent = profiles.select(F.explode(F.split("words", " ")).alias("w")).where(F.length("w") > 3).groupBy("w").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= max(20, n_names / 2000))
-    given = frozenset(r.w for r in frequent.collect()) | frozenset(g for v in nick.values() for g in v)
+    return {k: frozenset(v) for k, v in nick.items()}
+
 
-    comparer = lambda: Comparer(table, given)
+def link_profiles(profiles: DataFrame, table: dict[str, frozenset[str]], *, limit: int = LIMIT) -> DataFrame:
+    """(a, b): links between profile ids."""
+    # words of at least one in two thousand names: at most 2,000 times the words a name has
+    n_names = max(1, profiles.count())
+    firm = F.arrays_overlap(F.split("words", " "), F.array(*map(F.lit, sorted(FORMS))))
+    frequent = profiles.select(firm.alias("firm"), F.explode(F.split("words", " ")).alias("w")).where(F.length("w") > 2).groupBy("w").agg(F.count(F.lit(1)).alias("n"), F.count_if("firm").alias("firms")).where(F.col("n") >= max(20, n_names * SCARCE)).collect()
+    given = frozenset(r.w for r in frequent if len(r.w) > 3) | frozenset(g for v in table.values() for g in v)
+    sectors = frozenset(r.w for r in frequent if 2 * r.firms >= r.n and r.w not in FORMS)
+    shares = {r.w: r.n / n_names for r in frequent}
+
+    comparer = lambda: Comparer(table, given, sectors, shares)
     return link_contacts(profiles, comparer, limit).unionByName(link_names(profiles, comparer))
 
 
-def components(links: DataFrame, rounds: int = 40) -> DataFrame:
-    """(node, root): the smallest id of each node's component, by neighbour minima and pointer jumping."""
-    edges = cut(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root"))
-    labels = cut(labels)
-    for _ in range(rounds):
-        near = edges.join(labels.select(F.col("node").alias("b"), "root"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
-        step = labels.join(near, "node").select("node", F.least("root", "near").alias("new"), "root")
-        jump = labels.select(F.col("node").alias("new"), F.col("root").alias("further"))
-        step = cut(step.join(jump, "new", "left").select("node", F.least("new", F.coalesce("further", "new")).alias("next"), "root"))
-        changed = step.where("next <> root").limit(1).count()
-        labels = step.select("node", F.col("next").alias("root"))
-        if not changed:
+def components(links: DataFrame) -> DataFrame:
+    """(node, root): the smallest id of each node's component.
+
+    Every node moves to the smallest node next to it and the edges move along, which keeps what is connected connected,
+    until no edge is left: the largest node of a component goes in every round, of a clique or star all nodes but the
+    smallest in the first, of a path about half.  The moves are put together from the last to the first."""
+    edges = store(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct())
+    moves = []
+    while True:
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        move = store(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("to")))
+        moves.append(move)
+        to = lambda c: move.select(F.col("node").alias(c), F.col("to").alias(f"{c}_to"))  # noqa: B023, E731
+        edges = store(edges.join(to("a"), "a").join(to("b"), "b").where("a_to <> b_to").select(F.least("a_to", "b_to").alias("a"), F.greatest("a_to", "b_to").alias("b")).distinct())
+        if edges.isEmpty():
             break
-    return labels
+    roots = moves.pop().withColumnRenamed("to", "root")
+    while moves:
+        move, last = moves.pop(), roots.select(F.col("node").alias("to"), "root")
+        roots = store(move.join(last, "to", "left").select("node", F.coalesce("root", "to").alias("root")))
+    return roots
 
 
 def groups(records: DataFrame, nicknames: DataFrame) -> DataFrame:
     """(rec_id, full_name, entity): every record with a name, with the smallest record id of its entity."""
     normal, profiles = profiles_of(records)
-    profiles = cut(profiles)
-    roots = components(link_profiles(profiles, nicknames))
+    table = _nicknames(nicknames)
+    profiles = cut(profiles.mapInArrow(_read(table), "pid long, words string, email string, phone string, ssn string, spelt string"))
+    roots = components(link_profiles(profiles, table))
     entity = profiles.join(roots, profiles["pid"] == roots["node"], "left").select("words", "email", "phone", "ssn", F.coalesce("root", "pid").alias("entity"))
     return normal.join(entity, ["words", "email", "phone", "ssn"]).select("rec_id", "full_name", "entity")
 
@@ -481,7 +636,10 @@ def people(customers: DataFrame, showcase: DataFrame) -> DataFrame:
 def found(customers: DataFrame, showcase: DataFrame, nicknames: DataFrame) -> DataFrame:
     """p4_found: all pairs of records of one entity whose names differ as written."""
     g = groups(people(customers, showcase), nicknames)
-    several = g.groupBy("entity").agg(F.min("full_name").alias("x"), F.max("full_name").alias("y")).where("x <> y").select("entity")
-    g = cut(g.join(several, "entity"))
-    a, b = (g.select("entity", F.col("rec_id").alias(f"rec_{s}"), F.col("full_name").alias(f"name_{s}")) for s in "ab")
-    return a.join(b, "entity").where("rec_a < rec_b and name_a <> name_b").select("rec_a", "rec_b")
+    several = g.groupBy("entity").agg(F.min("full_name").alias("x"), F.max("full_name").alias("y"), F.count(F.lit(1)).alias("n")).where("x <> y")
+    # the records of an entity of many are dealt to strips, each paired with all of them in a task of its own
+    g = cut(g.join(several.select("entity", F.ceil(F.col("n") / HOT).alias("strips")), "entity"))
+    side = lambda s: [F.col("rec_id").alias(f"rec_{s}"), F.col("full_name").alias(f"name_{s}")]
+    a = g.select("entity", F.pmod(F.xxhash64("rec_id"), "strips").alias("strip"), *side("a"))
+    b = g.select("entity", F.explode(F.sequence(F.lit(0).cast("long"), F.col("strips") - 1)).alias("strip"), *side("b"))
+    return a.join(b, ["entity", "strip"]).where("rec_a < rec_b and name_a <> name_b").select("rec_a", "rec_b")
