@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 
 from tidegate.analyze import analyze
 from tidegate.functions.binding import bind
-from tidegate.lower import ORD, Lowered, lower, q
+from tidegate.lower import ORD, Lowered, lower, need_order, q
 from tidegate.nodes import Branch, Expr, FieldDecl, Pipeline, Program, Record, SinkDecl, SourceDecl, Stage, lift
 from tidegate.sinks.render import decimal_text
 from tidegate.sources.table import frame_of
@@ -36,7 +36,6 @@ class Rows:
     columns: dict[str, str] = field(default_factory=dict)
     stages: tuple[Stage, ...] = ()
     policy: str = "abort"
-    numbered: bool = True
 
     def _with(self, *stages: Stage) -> Rows:
         return replace(self, stages=(*self.stages, *stages))
@@ -66,15 +65,17 @@ class Rows:
         policy = self.policy if self.policy in ("abort", "skip") else "sink"
         p = Program([SourceDecl("in", "frame", "", list(self.schema))], [SinkDecl(s, "frame", "") for s in (*names, *(["errors"] if policy == "sink" else []))], [Pipeline("main", [Stage("ref", ["in"]), *self.stages, *ends])], policy, "errors" if policy == "sink" else None)
         checked = analyze(p)
-        source = frame_of(self.df, checked.source_schema, "in", columns=self.columns, order_by=self.order_by, numbered=self.numbered and self.order_by is not None)
+        source = frame_of(self.df, checked.source_schema, "in", columns=self.columns, order_by=self.order_by)
         return lower(self.df.sparkSession, checked, source)
 
     def frame(self, sink: str = "out") -> DataFrame:
-        """The healthy rows as a DataFrame (what the skip policy writes)."""
+        """The rows as a DataFrame: the healthy ones, or under the policy abort an error when it is read, should a row have failed."""
         return plain(self.lowered(), sink)
 
     def errors(self) -> DataFrame:
-        return self.on_error("sink").lowered().envelopes().drop(ORD)
+        low = self.on_error("sink").lowered()
+        need_order(low.frame, "an error sink")
+        return low.envelopes().drop(ORD)
 
     def route(self, **branches: Expr | None) -> Lowered:
         """Branches by sink name in order; None is else, and the name discard drops the rows."""
@@ -83,7 +84,7 @@ class Rows:
 
 def plain(low: Lowered, sink: str) -> DataFrame:
     """A sink's rows without the order key, decimals as text at their scale."""
-    rows = low.rows(sink).drop(ORD)
+    rows = (low.strict(sink) if low.checked.policy == "abort" else low.rows(sink)).drop(ORD)
     kinds = dict(low.frame.schema.fields)
     names = rows.columns
     for n in names:
@@ -93,5 +94,5 @@ def plain(low: Lowered, sink: str) -> DataFrame:
     return rows.select(*(decimal_text(q(n)).alias(n) if kinds[n].kind == "decimal" and not kinds[n].sealed else q(n) for n in rows.columns))
 
 
-def rows(df: DataFrame, schema: str, *, order_by: str | None = None, columns: dict[str, str] | None = None, numbered: bool = True) -> Rows:
-    return Rows(df, tuple(fields(schema)), order_by, columns or {}, numbered=numbered)
+def rows(df: DataFrame, schema: str, *, order_by: str | None = None, columns: dict[str, str] | None = None) -> Rows:
+    return Rows(df, tuple(fields(schema)), order_by, columns or {})

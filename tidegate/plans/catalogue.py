@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 import os
-import tempfile
+import uuid
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegate.builder import Rows, plain, rows
-from tidegate.nodes import col, hash_, lower, mask, redact, trim, upper
-from tidegate.run import plan
+from tidegate.functions.cutting import folder
+from tidegate.nodes import RowFault, col, hash_, lower, mask, redact, trim, upper
+from tidegate.plans.problems import _RECORDS
+from tidegate.run import execute, plan
 from tidegate.syntax import parse
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -95,7 +96,7 @@ def rename_swap(spark, d):
 # -- positional stages
 @query("select o_orderkey, o_totalprice from orders order by o_orderkey limit 100")
 def limit_first(spark, d):
-    return orders(spark, d, order_by="o_orderkey", numbered=False).limit(100).select("o_orderkey", "o_totalprice").frame()
+    return orders(spark, d, order_by="o_orderkey").limit(100).select("o_orderkey", "o_totalprice").frame()
 
 
 @query("select o_orderkey, o_totalprice from orders order by o_orderkey offset 100")
@@ -105,7 +106,7 @@ def offset_rest(spark, d):
 
 @query("select event_id, value from events order by event_id limit 50 offset 20")
 def page(spark, d):
-    return events(spark, d, order_by="event_id", numbered=False).offset(20).limit(50).select("event_id", "value").frame()
+    return events(spark, d, order_by="event_id").offset(20).limit(50).select("event_id", "value").frame()
 
 
 @query("select o_orderkey from (select o_orderkey, row_number() over (order by o_orderkey) as rn from orders where o_orderstatus = 'O') where rn > 5 and rn <= 45")
@@ -115,7 +116,7 @@ def page_after_filter(spark, d):
 
 @query("select o_orderkey from (select *, row_number() over (order by o_orderkey) as rn from orders) where rn <= 500 and o_totalprice > 50000.0")
 def limit_counts_failed(spark, d):
-    return orders(spark, d, order_by="o_orderkey").check(col("o_totalprice") > 50000.0, "cheap").limit(500).select("o_orderkey").frame()
+    return orders(spark, d, order_by="o_orderkey").check(col("o_totalprice") > 50000.0, "cheap").on_error("skip").limit(500).select("o_orderkey").frame()
 
 
 # -- declassifying stages and functions
@@ -124,10 +125,10 @@ def mask_stage(spark, d):
     return customer(spark, d).mask("c_name").select("c_custkey", "c_name").frame()
 
 
-@query("select doc_id, repeat('*', strlen(text)) as text from documents where text is not null")
+@query("select doc_id, repeat('*', strlen(coalesce(text, 'none'))) as text from documents")
 def mask_fn_utf8(spark, d):
-    docs = rows(spark.read.parquet(f"{d}/documents.parquet").where("text is not null"), "doc_id: int, text: string @pii")
-    return docs.map(text=mask(col("text"))).frame()
+    docs = rows(spark.read.parquet(f"{d}/documents.parquet"), "doc_id: int, text: string? @pii")
+    return docs.map(text=mask(col("text").default("none"))).frame()
 
 
 @query("select c_custkey, sha256(c_name) as c_name from customer")
@@ -159,17 +160,21 @@ def check_route_envelope(spark, d):
 
 @query("select o_orderkey from orders where o_orderkey < (select min(o_orderkey) from orders where o_totalprice < 2000.0) or not exists (select 1 from orders where o_totalprice < 2000.0)")
 def check_abort_prefix(spark, d):
+    """What the engine writes before it aborts at the first failed row."""
     low = orders(spark, d, order_by="o_orderkey").check(col("o_totalprice") >= 2000.0, "tiny").select("o_orderkey").lowered()
-    first = low.frame.df.where("`#fail` is not null").agg(F.min("`#ord`").alias("stop"))
-    healthy = low.rows("out").crossJoin(F.broadcast(first))  # one row
-    return healthy.where("stop is null or `#ord` < stop").select("o_orderkey")
+    written = {}
+    try:
+        execute(low, low.checked, {"out": lambda df: written.update(out=df)})
+    except RowFault:
+        pass
+    return written["out"].select(F.get_json_object("line", "$.o_orderkey").cast("bigint").alias("o_orderkey"))
 
 
 # -- terminals
 @query("select o_orderkey, case when o_orderstatus = 'F' then 'finished' when o_totalprice > 150000.0 then 'large' else 'rest' end as target from orders")
 def route_first_match(spark, d):
     low = orders(spark, d).select("o_orderkey", "o_orderstatus", "o_totalprice").route(finished=col("o_orderstatus").eq("F"), large=col("o_totalprice") > 150000.0, rest=None)
-    return reduce(DataFrame.unionByName, (plain(low, s).select("o_orderkey", F.lit(s).alias("target")) for s in ("finished", "large", "rest")))
+    return low.routed().select("o_orderkey", "target")
 
 
 @query("select o_orderkey from orders where o_orderstatus = 'P'")
@@ -180,7 +185,7 @@ def route_discard(spark, d):
 @query("select case when o_orderstatus = 'F' then 'a' when o_orderstatus = 'O' then 'b' else 'c' end as target, count(*) as n from orders group by 1")
 def route_conservation(spark, d):
     low = orders(spark, d).select("o_orderkey", "o_orderstatus").route(a=col("o_orderstatus").eq("F"), b=col("o_orderstatus").eq("O"), c=None)
-    return reduce(DataFrame.unionByName, (plain(low, s).select(F.lit(s).alias("target")) for s in "abc")).groupBy("target").agg(F.count(F.lit(1)).alias("n"))
+    return low.routed().groupBy("target").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("select 'audit' as sink, c_custkey from customer where c_acctbal > 0.0 union all select 'warehouse', c_custkey from customer where c_acctbal > 0.0")
@@ -260,7 +265,7 @@ def optional_functions(spark, d):
 
 
 # -- text cells: coercion
-def _cells(spark: SparkSession, df: DataFrame, schema: str):
+def _cells(spark: SparkSession, df: DataFrame, schema: str, formats: dict[str, str] | None = None):
     """Cells of text under a schema, as the readers of files give them."""
     from tidegate.analyze import source_schema
     from tidegate.builder import fields
@@ -268,7 +273,7 @@ def _cells(spark: SparkSession, df: DataFrame, schema: str):
     from tidegate.nodes import SourceDecl
     from tidegate.sources import from_cells
 
-    decl = SourceDecl("in", "cells", "", fields(schema))
+    decl = SourceDecl("in", "cells", "", fields(schema), formats=formats or {})
     typed = source_schema(decl)
     cells = df.select(F.col(df.columns[0]).alias(ORD), F.col(df.columns[0]).alias(OFF), F.array(*df.columns).alias("cells"), F.lit(None).cast("string").alias(FATAL))
     return from_cells(spark, decl, typed, cells, {n: i for i, n in enumerate(typed.names)}, "csv")
@@ -283,20 +288,27 @@ def coerce_int_fail(spark, d):
     return f.df.select(F.col("s0").alias("rec_id"), F.col("s1").alias("age"), F.col("`#fail`.reason").alias("reason"), F.col("`#fail`.stage").alias("stage"))
 
 
-@query(r"""with a as (select line_id, string_split(raw_line, ',')[7] as v from etl_lines where raw_line not like '%"%' and len(string_split(raw_line, ',')) = 10)
-select line_id, regexp_full_match(replace(v, ',', ''), '[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?') as parses from a""")
+@query(_RECORDS.rstrip().rstrip(",") + r""" , v as (select line_id, case when strpos(a, '.') = 0 then replace(a, ',', '') else replace(regexp_replace(a, '[.][^.]*$', ''), ',', '') || regexp_extract(a, '[.][^.]*$') end as a, a as raw
+  from (select line_id, coalesce(case when ok then x[7] end, '') as a from c))
+select line_id, case when ok then cast(a as decimal(38,10)) end as amount, case when ok then null else 'cannot parse cell as decimal' end as reason
+from (select *, regexp_full_match(a, '[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]{1,3})?') as ok from v)""")
 def coerce_decimal(spark, d):
-    df = spark.read.parquet(f"{d}/etl_lines.parquet").where("raw_line not like '%\"%' and size(split(raw_line, ',', -1)) = 10").select(F.col("line_id").cast("string"), F.split("raw_line", ",", -1)[6].alias("v"))
-    f = _cells(spark, df, "line_id: int, v: decimal")
-    return f.df.select(F.col("s0").alias("line_id"), F.col("`#fail`").isNull().alias("parses"))
+    """The amount of every record, whether or not the rest of the record loads: value by value."""
+    from tidegate.operators.badrows import ETL_COLUMNS, classify
 
+    cells = classify(spark.read.parquet(f"{d}/etl_lines.parquet").select("line_id", "raw_line"), "raw_line")
+    df = cells.select(F.col("line_id").cast("string"), F.coalesce(F.get("`#cells`", F.lit(ETL_COLUMNS.index("amount"))), F.lit("")).alias("v"))
+    f = _cells(spark, df, "line_id: int, v: decimal @pii")
+    amount = F.col("s1.u").cast("decimal(38,10)") / F.pow(F.lit(10), F.col("s1.s"))
+    return f.df.select(F.col("s0").alias("line_id"), amount.cast("decimal(38,10)").alias("amount"), F.col("`#fail`.reason").alias("reason"))
 
-@query("select term_id, strptime(renewed_on, '%d/%m/%Y')::date as renewed_on from date_terms where renewed_on is not null and try_strptime(renewed_on, '%d/%m/%Y') is not null")
-def coerce_date_layout(spark, d):
-    from tidegate.coerce import parse_cell
 
-    df = spark.read.parquet(f"{d}/date_terms.parquet").select("term_id", parse_cell("date", F.col("renewed_on"), "02/01/2006").alias("renewed_on"))
-    return df.where("renewed_on is not null")
+@query(r"""select term_id, case when regexp_full_match(renewed_on, '[0-9]{2}/[0-9]{2}/[0-9]{4}') then try_strptime(renewed_on, '%d/%m/%Y')::date end as renewed_on,
+renewed_on is not null and trim(renewed_on) <> '' and not (regexp_full_match(renewed_on, '[0-9]{2}/[0-9]{2}/[0-9]{4}') and try_strptime(renewed_on, '%d/%m/%Y') is not null) as failed from date_terms""")
+def coerce_date_layout(spark, d):
+    df = spark.read.parquet(f"{d}/date_terms.parquet").select(F.col("term_id").cast("string"), F.coalesce("renewed_on", F.lit("")).alias("renewed_on"))
+    f = _cells(spark, df, "term_id: int, renewed_on: date?", {"renewed_on": "02/01/2006"})
+    return f.df.select(F.col("s0").alias("term_id"), F.col("s1").alias("renewed_on"), F.col("`#fail`").isNotNull().alias("failed"))
 
 
 # -- text programs and segments
@@ -334,7 +346,7 @@ def column_alias(spark, d):
 select o_orderkey as id, sha256(o_orderpriority) as priority, repeat('*', strlen(cast(o_orderstatus as varchar))) as status, o_totalprice >= 200000.0 as high, o_totalprice as price from b""")
 def etl_composite(spark, d):
     df = spark.read.parquet(f"{d}/orders.parquet")
-    r = rows(df, "o_orderkey: int, o_orderstatus: string @pii, o_totalprice: double, o_orderpriority: string @pii").check(col("o_totalprice") > 1000.0, "non-positive")
+    r = rows(df, "o_orderkey: int, o_orderstatus: string @pii, o_totalprice: double, o_orderpriority: string @pii").check(col("o_totalprice") > 1000.0, "non-positive").on_error("skip")
     r = r.filter(col("o_orderstatus").ne("P")).filter(col("o_totalprice") >= 100000.0).map(high=col("o_totalprice") >= 200000.0)
     return r.hash("o_orderpriority").mask("o_orderstatus").rename(o_orderkey="id", o_orderpriority="priority", o_orderstatus="status", o_totalprice="price").select("id", "priority", "status", "high", "price").frame()
 
@@ -355,16 +367,22 @@ def deidentify_sealed(spark, d):
     return f.df.select(F.col("s0").alias("c_custkey"), F.col("s1").alias("c_name"))
 
 
-@query("select o_orderkey as id, o_orderpriority as priority from orders")
+_TRIP = "o_orderkey: int, o_custkey: int, o_orderstatus: string, o_totalprice: double, o_orderdate: datetime, o_orderpriority: string"
+
+
+def _file(spark: SparkSession, df: DataFrame, name: str) -> str:
+    """One file of delimited text in the shared folder, written by a task of the cluster."""
+    target = f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
+    df.coalesce(1).write.option("timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss").csv(target, header=True, quoteAll=True)
+    local = target.removeprefix("file://").removeprefix("file:")
+    return next(os.path.join(local, f) for f in os.listdir(local) if f.endswith(".csv"))
+
+
+@query("select o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority from orders")
 def csv_roundtrip(spark, d):
-    """Orders written as one delimited file and read back with provenance and coercion."""
-    folder = tempfile.mkdtemp(prefix="roundtrip-")
-    path = os.path.join(folder, "orders.csv")
-    with open(path, "w", encoding="utf-8", newline="") as f:
-        f.write("id,priority\n")
-        for r in spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", "o_orderpriority").toLocalIterator():
-            f.write(f'{r[0]},"{r[1]}"\n')
-    return _program(spark, folder, 'source in = csv("{d}/orders.csv", schema: { id: int, priority: string })\nsink out = jsonl("unused")\npipeline main { in |> out }')
+    """All columns of orders written as one delimited file and read back with coercion."""
+    path = _file(spark, spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", F.col("o_orderdate").cast("timestamp_ntz").alias("o_orderdate"), "o_orderpriority"), "orders")
+    return _program(spark, path, f'source in = csv("{{d}}", schema: {{ {_TRIP} }})\nsink out = jsonl("unused")\npipeline main {{ in |> out }}')
 
 
 @query("""select '{"id":' || c_custkey || ',"segment":"' || c_mktsegment || '","rich":' || (c_acctbal > 0.0) || '}' as line from customer""")

@@ -5,13 +5,13 @@ from __future__ import annotations
 import os
 from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from tidegate import sinks, sources
 from tidegate.analyze import Checked, analyze
 from tidegate.functions.cutting import cut
-from tidegate.lower import FAIL, FATAL, ORD, Lowered, lower, q
+from tidegate.lower import FAIL, FATAL, ORD, Lowered, lower, need_order, q
 from tidegate.nodes import FatalFault, Program, RowFault
 from tidegate.sinks.render import json_line
 from tidegate.syntax import parse
@@ -26,8 +26,9 @@ def plan(spark: SparkSession, program: Program, base: str = ".") -> Lowered:
     return lower(spark, checked, sources.build(spark, checked.source, checked.source_schema, base))
 
 
-def _lines(df: DataFrame, schema: Schema) -> DataFrame:
-    return df.select(q(ORD), json_line(schema, q).alias("line"))
+def _lines(df: DataFrame, schema: Schema, ordered: bool = True) -> DataFrame:
+    """(#ord, line); without an order only the line."""
+    return df.select(*([q(ORD)] if ordered else []), json_line(schema, q).alias("line"))
 
 
 def run(spark: SparkSession, program: Program, base: str = ".", *, to_console: bool = False) -> None:
@@ -42,7 +43,10 @@ def run(spark: SparkSession, program: Program, base: str = ".", *, to_console: b
 
 def execute(low: Lowered, checked: Checked, writers: dict) -> None:
     f = low.frame
-    if len(writers) > 1 or checked.policy == "abort" or f.fatal:
+    aborts = checked.policy == "abort" and f.fallible
+    if aborts or checked.error_sink is not None:
+        need_order(f, "the policy abort" if aborts else "an error sink")
+    if len(writers) > 1 or f.fatal:
         # one pass over the source for all outputs, on storage that all executors share
         f = low.frame = replace(f, df=cut(f.df))
     stop = fault = None
@@ -50,13 +54,16 @@ def execute(low: Lowered, checked: Checked, writers: dict) -> None:
         stop = f.df.where(q(FAIL)["stage"] == FATAL).agg(F.min_by(F.struct(q(FAIL)["reason"].alias("reason"), q(ORD).alias("ord")), q(ORD))).first()[0]
         if stop is not None:
             fault = FatalFault(f'source "{f.source}": {stop.reason}')
-    if checked.policy == "abort":
-        bad = f.df.where(q(FAIL).isNotNull() & (q(FAIL)["stage"] != FATAL)).agg(F.min_by(F.struct(q(FAIL).alias("fail"), q(ORD).alias("ord")), q(ORD))).first()[0]
+    if aborts:
+        first = f.df.where(q(FAIL).isNotNull() & (q(FAIL)["stage"] != FATAL)).select(q(ORD), q(FAIL)).orderBy(q(ORD)).limit(1)
+        bad = f.numbered(first).select(q(ORD).alias("ord"), q("#n").alias("n"), q(FAIL).alias("fail")).first()
         if bad is not None and (stop is None or bad.ord < stop.ord):
-            stop, fault = bad, RowFault(bad.ord, f.source, bad.fail.reason, bad.fail.stage)
-    before = (lambda df: df.where(q(ORD) < stop.ord)) if stop is not None else (lambda df: df)
+            stop, fault = bad, RowFault(bad.n, f.source, bad.fail.reason, bad.fail.stage)
+    key = F.lit(stop.ord) if stop is not None and not isinstance(stop.ord, Row) else F.struct(*(F.lit(v).alias(k) for k, v in stop.ord.asDict().items())) if stop is not None else None
+    before = (lambda df: df.where(q(ORD) < key)) if stop is not None else (lambda df: df)
     for s in checked.sinks:
-        writers[s.name](before(_lines(low.rows(s.name), f.schema)))
+        rows = low.rows(s.name)
+        writers[s.name](_lines(before(rows) if f.ordered else rows, f.schema, f.ordered))
     if checked.error_sink is not None:
         writers[checked.error_sink.name](before(_lines(low.envelopes(), ENVELOPE)))
     if fault is not None:

@@ -30,6 +30,11 @@ def open_sink(format_: str, name: str, path: str) -> Writer:
     return _OPENERS[format_](name, path)
 
 
+def in_order(df: DataFrame) -> DataFrame:
+    """The lines in row order; rows without an order come as the source gives them."""
+    return (df.orderBy(q(ORD)) if ORD in df.columns else df).select("line")
+
+
 @register("jsonl")
 def jsonl(name: str, path: str) -> Writer:
     """One file in row order, streamed partition by partition; a path that ends in a slash is a folder written in parallel."""
@@ -42,7 +47,7 @@ def jsonl(name: str, path: str) -> Writer:
 
     def write(df: DataFrame) -> None:
         with open(path, "w", encoding="utf-8", newline="") as f:
-            for r in df.orderBy(q(ORD)).select("line").toLocalIterator(prefetchPartitions=True):
+            for r in in_order(df).toLocalIterator(prefetchPartitions=True):
                 f.write(r.line + "\n")
 
     return write
@@ -54,7 +59,7 @@ def console(name: str, path: str) -> Writer:
 
     def write(df: DataFrame) -> None:
         print(f"=== {name} ===")
-        for r in df.orderBy(q(ORD)).select("line").toLocalIterator(prefetchPartitions=True):
+        for r in in_order(df).toLocalIterator(prefetchPartitions=True):
             print(r.line)
         sys.stdout.flush()
 
