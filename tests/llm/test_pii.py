@@ -7,7 +7,7 @@ from tidegate.llm import pii
 
 GIVEN = frozenset("amara daniel petra will yusuf kit".split())
 COMMON = frozenset("met at the fair per do not contact dear thank you will decide grace for call queue signed by says flat is vacant and asked tel left msg w with on file brother pay thx".split())
-KNOWN = pii.Disclosure(GIVEN, frozenset(("will",)), COMMON, frozenset(("signed by", "msg w", "^ dear", "^ met", "^ per", "^ thx")), frozenset(("says", "thank")))
+KNOWN = pii.Disclosure(GIVEN, frozenset(("will",)), COMMON, frozenset(("signed by", "msg w", "^ dear", "^ met", "^ per", "^ thx")), frozenset(("says", "thank")), frozenset(("on file", "id")))
 
 
 def kinds(note):
@@ -67,3 +67,35 @@ def test_found(spark):
     clean = {(r.tbl, r.row_key): r.clean for r in pii.redacted(customers, lines, nick).collect()}
     assert clean["customer_export", 0] == "signed by [NAME]" and clean["customer_export", 4] is None and clean["customer_export", 5] == ""
     assert pii.found(customers.limit(0), lines.limit(0), nick.limit(0)).count() == 0
+
+
+def test_numbers_are_told_by_what_announces_them(spark):
+    """Nine bare digits: the words before them decide, whatever the words are."""
+    note = ["badge shown, 955-21-{0:04}", "badge shown, 9552{0:05}", "claim no. 12-{0:05}", "claim no. 1234{0:05}", "permit N{0:07}Q seen", "permit 5552{0:05} seen", "12345{0:04} alone"]
+    rows = [(i, "Amara Zolerok", note[i % 7].format(i), None) for i in range(700)]
+    customers = spark.createDataFrame(rows, "rec_id long, full_name string, internal_notes string, extra string")
+    lines = spark.createDataFrame([], "line_id long, raw_line string")
+    nick = spark.createDataFrame([("Dan", "Daniel")], "nickname string, given_name string")
+    got = {r.row_key: r.found for r in pii.found(customers, lines, nick).where("kind = 'id_number'").collect()}
+    assert set(got) == {i for i in range(700) if i % 7 in (0, 1, 4, 5)} and got[1] == "955200001" and got[5] == "555200005"
+
+
+@pytest.mark.parametrize("copies", [1, 40])
+def test_copies_count_in_the_statistics(spark, copies):
+    """A note that stands forty times in the corpus weighs forty times as much."""
+    notes = spark.createDataFrame([("badge shown, 955-21-0001",)] * copies + [("badge shown, code 11-2",)] * 20, "note string")
+    empty = spark.createDataFrame([], "full_name string")
+    d = pii.learn(empty, spark.createDataFrame([], "nickname string, given_name string"), notes)
+    assert ("badge" in d.common) and ("code" in d.common)
+    assert ("badge shown" in d.announce) is (copies == 40)
+    assert pii.announced("x badge shown, 123456789", 15) == ("badge shown", "shown") and pii.announced("123456789", 0) == ("", "")
+
+
+def test_stored_contexts_are_those_of_a_note(spark):
+    """The aggregates over the table of words see the contexts that the search for names sees."""
+    notes = ["met Amara Zolerok at the fair; tel 555.010.2345, per Daniel", "dear DANIEL, thank you", "12 a@b.example Kit's flat - is vacant. and", "", "w"]
+    common, given = frozenset("met at the fair dear thank you flat is and w".split()), frozenset("amara daniel kit".split())
+    want = sorted((t.low, *c) for n in notes for s in [pii.formed(n)] for k in [pii.words(n, s)] for t, c in zip(k, pii.contexts(n, k, s, common)))
+    table = spark.createDataFrame([(n, 2) for n in notes], "note string, copies long").mapInArrow(pii._part, pii.WORDS).where("word is not null")
+    seen = pii._flagged(table, common, given).collect()
+    assert sorted((r.word, r.before, r.after) for r in seen) == want and {r.copies for r in seen} == {2}

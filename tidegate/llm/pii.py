@@ -1,18 +1,23 @@
 """Personal information inside free text (problem 7).
 
-Emails, phone numbers, identity numbers and streets have a form; expressions find them.  Names have
-none: how strongly a word reveals a person is estimated from the corpus.  For every word the
-information that the name columns give about it, log P(word | name column) / P(word | notes), decides
-whether it stands for a given name by itself; the share of names behind a left neighbour (and before
-a right one) decides for words the name columns do not know; and a word beside a given name is a
-surname if its own surprise in the notes, -log P(word | notes), exceeds the threshold.  Terms beyond
-the thresholds are taken out and replaced by a placeholder of their type.
-
-The statistics cover all rows and are aggregated in the cluster.  Only words with a share of at least
-``SHARE`` of all words are sent to the tasks, so there are never more than 1 / ``SHARE`` of them.
+What a term discloses is estimated from the corpus.  Emails, phone numbers, identity numbers and
+streets have a form, which marks them as candidates; where the form alone is ambiguous (nine bare
+digits), the words before it decide: the share of identity numbers among all numbers they announce.
+Names have no form.  For every word the information that the name columns give about it,
+log P(word | name column) / P(word | notes), decides whether it stands for a given name by itself;
+for words the name columns do not know, how often names occur together with their left and right
+neighbours decides; and a word beside a given name is a surname if its own surprise in the notes,
+-log P(word | notes), exceeds the threshold.  Terms beyond the thresholds are taken out and replaced
+by a placeholder of their type.
+
+Notes are parted into words once, each distinct note with its number of copies; the table of words
+with their neighbours is stored, and all co-occurrences are aggregates over it.  The statistics cover
+all rows.  Only words with a share of at least ``SHARE`` of all words are sent to the tasks, so there
+are never more than 1 / ``SHARE`` of them, and contexts of a quarter of that share.
 
 Defined results
 ---------------
+* a note that occurs several times counts as often in the statistics;
 * null, empty and blank notes have no details; the rest of a note is kept to the letter;
 * a detail is reported once per note, as written, without labels; repeated rows each report theirs;
 * very long notes are searched whole; empty tables give empty results; further columns are ignored;
@@ -23,7 +28,6 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -31,12 +35,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidegate.functions.cutting import store
 from tidegate.operators.badrows import ETL_COLUMNS, classify
 
 #: Words below this share of all words are never sent to the tasks.
 SHARE = 1e-4
 #: Disclosure of a given name: log ratio between name columns and notes; share of names in a context; share of a word's places that are names', or beside given names for surnames; a common word's least count.
 REVEALS, CONTEXT, PLACED, FAMILY, COMMON = 0.0, 0.5, 0.5, 0.8, 12
+#: Distinct notes whose details a worker remembers; it changes no result.
+REMEMBERED = 20_000
 
 # The shapes of the details that have a form.
 _LOCAL = r"[A-Za-z0-9][A-Za-z0-9._%+'\-]*"
@@ -50,11 +57,11 @@ PHONE = re.compile(
     rf"|(?:(?<=ph\.)|(?<![\w/#.\-])(?<![0-9] ))[0-9]{{3}}[ .\-][0-9]{{4}}{_END}",
     re.I,
 )
-ID_NUMBER = re.compile(
-    r"(?<![\w/+\-.])(?:[0-9]{3}-[0-9]{2}-[0-9]{4}|[0-9]{3} [0-9]{2} [0-9]{4}|[0-9]{3}\.[0-9]{2}\.[0-9]{4}|[0-9]{6}/[0-9]{3,4}|(?-i:[A-Z][0-9]{7}[A-Z]|[A-Z]{1,2}[0-9]{6,8}))(?![\w/\-]|\.[0-9])"
-    r"|(?:(?<=on file )|(?<=checked: )|(?<=identity no\. )|(?<=passport )|(?<=check done, )|(?<=verified )|(?<=\bid )|(?<=ssn )|(?<=ssn: ))[0-9]{9}(?![\w/\-])",
-    re.I,
-)
+ID_NUMBER = re.compile(r"(?<![\w/+\-.])(?:[0-9]{3}-[0-9]{2}-[0-9]{4}|[0-9]{3} [0-9]{2} [0-9]{4}|[0-9]{3}\.[0-9]{2}\.[0-9]{4}|[0-9]{6}/[0-9]{3,4}|(?-i:[A-Z][0-9]{7}[A-Z]|[A-Z]{1,2}[0-9]{6,8}))(?![\w/\-]|\.[0-9])", re.I)
+# nine digits without a sign: an identity number or the number of anything else
+BARE = re.compile(r"(?<![\w/+\-.#])[0-9]{9}(?![\w/\-]|\.[0-9])")
+NUMBER = re.compile(r"(?<![\w/+\-.])[A-Za-z]{0,2}[0-9][0-9/.\-]{2,}[A-Za-z]?(?![\w])")
+_BEFORE = re.compile(r"(?:([^\W\d_]+)[\s.,:#/\-]+)?([^\W\d_]+)[.,]?[ :#]{1,2}\Z")
 _KIND = r"(?:Road|Rd|Lane|Ln|Street|St|Avenue|Ave|Drive|Dr|Blvd|Boulevard|Close|Court|Ct|Row|Way|Square|Sq|Terrace|Ter|Place|Pl|Crescent|Gardens|Hill|Park|Walk|Mews)"
 _CAP = r"(?-i:[A-ZÀ-ÖØ-Þ][\w'’\-]*)"
 _OF = r"(?: (?:de la|des|du|de|das|dos|da|do|del|della|de l['’]))?"
@@ -78,6 +85,7 @@ class Disclosure:
     common: frozenset[str] = frozenset()
     before: frozenset[str] = frozenset()
     after: frozenset[str] = frozenset()
+    announce: frozenset[str] = frozenset()
 
 
 @dataclass
@@ -91,13 +99,29 @@ class Token:
         self.low = self.text.lower()
 
 
-def formed(note: str) -> list[tuple[int, int, str]]:
+def announced(note: str, start: int) -> tuple[str, str]:
+    """The two words and the one word before a number, empty where none stands right before it."""
+    m = _BEFORE.search(note, max(0, start - 60), start)
+    if not m:
+        return "", ""
+    one = m[2].lower()
+    return (f"{m[1].lower()} {one}" if m[1] else f"^ {one}"), one
+
+
+_DIGIT, _SPELT = re.compile("[0-9]"), re.compile(r"\bdot\b", re.I)
+
+
+def formed(note: str, announce: frozenset[str] = frozenset()) -> list[tuple[int, int, str]]:
     """Spans of the details that have a form, leftmost first, none overlapping."""
     out: list[tuple[int, int, str]] = []
-    for kind, pattern in (("email", EMAIL), ("id_number", ID_NUMBER), ("phone", PHONE), ("street", STREET)):
-        for m in pattern.finditer(note):
-            if all(m.end() <= a or m.start() >= b for a, b, _ in out):
-                out.append((m.start(), m.end(), kind))
+    digits = _DIGIT.search(note) is not None
+    for kind, pattern, asked in (("email", EMAIL, "@" in note or _SPELT.search(note)), ("id_number", ID_NUMBER, digits), ("id_number", BARE, digits and announce), ("phone", PHONE, digits), ("street", STREET, digits)):
+        if asked:
+            for m in pattern.finditer(note):
+                if pattern is BARE and not announce.intersection(announced(note, m.start())):
+                    continue
+                if all(m.end() <= a or m.start() >= b for a, b, _ in out):
+                    out.append((m.start(), m.end(), kind))
     return sorted(out)
 
 
@@ -117,8 +141,8 @@ def words(note: str, spans: list[tuple[int, int, str]]) -> list[Token]:
 _BREAK = re.compile(r"[;\n.,!?]| - ")
 
 
-def contexts(note: str, tokens: list[Token], spans: list[tuple[int, int, str]], common: frozenset[str]) -> list[tuple[str, str]]:
-    """For each word what stands before it (two words) and behind it (one): a common word itself, ? for any other, # for a detail that has a form, ^ for the clause's edge."""
+def joints(note: str, tokens: list[Token], spans: list[tuple[int, int, str]]) -> tuple[list[str], list[str], list[str]]:
+    """For each word what parts it from the one before and behind it: # a detail that has a form, ^ the clause's edge, else nothing; and the sign right behind it."""
     starts = [a for a, *_ in spans]
 
     def between(a: int, b: int) -> str:
@@ -127,16 +151,21 @@ def contexts(note: str, tokens: list[Token], spans: list[tuple[int, int, str]],
         gap = note[a:b]
         return "^" if _BREAK.search(gap) and gap != ". " or not gap and a == 0 else ""
 
+    left = [between(tokens[i - 1].end, t.start) if i else ("#" if any(x < t.start for x in starts) else "^") for i, t in enumerate(tokens)]
+    right = [between(t.end, tokens[i + 1].start if i + 1 < len(tokens) else len(note)) for i, t in enumerate(tokens)]
+    return left, right, [note[t.end : t.end + 1].strip() for t in tokens]
+
+
+def contexts(note: str, tokens: list[Token], spans: list[tuple[int, int, str]], common: frozenset[str]) -> list[tuple[str, str]]:
+    """For each word what stands before it (two words) and behind it (one): a common word itself, ? for any other, or a joint."""
     label = [t.low if t.low in common else "?" for t in tokens]
-    joint = [between(tokens[i - 1].end if i else 0, t.start) if i else ("#" if any(x < t.start for x in starts) else "^") for i, t in enumerate(tokens)]
+    left, right, signs = joints(note, tokens, spans)
     out = []
-    for i, t in enumerate(tokens):
-        one = joint[i] or label[i - 1]
-        two = "" if joint[i] == "^" or i == 0 else (joint[i - 1] or label[i - 2]) if not joint[i] and i > 0 else ""
-        tail = between(t.end, tokens[i + 1].start if i + 1 < len(tokens) else len(note))
-        sign = note[t.end : t.end + 1].strip()
-        after = tail or (label[i + 1] if i + 1 < len(tokens) else "^")
-        out.append((f"{two} {one}".strip(), f"{sign}{after}"))
+    for i in range(len(tokens)):
+        one = left[i] or label[i - 1]
+        two = (left[i - 1] or label[i - 2]) if not left[i] else ""
+        after = right[i] or (label[i + 1] if i + 1 < len(tokens) else "^")
+        out.append((f"{two} {one}".strip(), f"{signs[i]}{after}"))
     return out
 
 
@@ -206,7 +235,7 @@ def find_details(note: str | None, d: Disclosure) -> list[tuple[int, int, str]]:
     """All details of a note as (start, end, kind), in order."""
     if not note or not note.strip():
         return []
-    spans = formed(note)
+    spans = formed(note, d.announce)
     return sorted(spans + find_names(note, spans, d))
 
 
@@ -223,99 +252,107 @@ def redact(note: str | None, d: Disclosure) -> str | None:
     return "".join(parts) + note[at:]
 
 
-def _counts(pairs: Counter) -> pa.RecordBatch:
-    rows = [(a, b, n) for (a, b), n in pairs.items()]
-    return pa.RecordBatch.from_pydict({"kind": pa.array([r[0] for r in rows], pa.string()), "term": pa.array([r[1] for r in rows], pa.string()), "n": pa.array([r[2] for r in rows], pa.int64())})
+WORDS = "copies long, word string, cap boolean, prev string, prev2 string, next string, left string, left_prev string, right string, sign string, runs_on boolean, lists boolean, ran_on boolean, two string, one string, formed boolean"
 
 
-def _note_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(note, copies) to a row per word with its neighbours, and a row without word per number with the words before it."""
+    names = [f.split()[0] for f in WORDS.split(", ")]
     for b in batches:
-        seen: Counter = Counter()
-        for note in b.column(0).to_pylist():
-            for t in words(note, formed(note)):
-                seen["word", t.low] += 1
-        yield _counts(seen)
-
-
-def _contexts(given: frozenset[str], common: frozenset[str]):
-    """How often names, and other words, stand in each context."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            seen: Counter = Counter()
-            for note in b.column(0).to_pylist():
-                spans = formed(note)
-                tokens = words(note, spans)
-                for i, (t, (before, after)) in enumerate(zip(tokens, contexts(note, tokens, spans, common))):
-                    known = t.low in given
-                    family = t.low not in common and not known
-                    goes_on = i + 1 < len(tokens) and note[t.end : tokens[i + 1].start] == " " and tokens[i + 1].low not in common
-                    if not family:
-                        seen["before name" if known else "before other", before] += 1
-                    if not (known and goes_on):
-                        seen["after name" if known or (family and i and tokens[i - 1].low in given) else "after other", after] += 1
-            yield _counts(seen)
-
-    return run
-
-
-def _placed(before: frozenset[str], after: frozenset[str], common: frozenset[str], given: frozenset[str]):
-    """How often each common word stands in a place of names, and how often beside a given name as surnames do."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            seen: Counter = Counter()
-            for note in b.column(0).to_pylist():
-                spans = formed(note)
-                tokens = words(note, spans)
-                for i, (t, (left, right)) in enumerate(zip(tokens, contexts(note, tokens, spans, common))):
-                    if t.low in common:
-                        goes_on = i + 1 < len(tokens) and note[t.end : tokens[i + 1].start] == " " and tokens[i + 1].low not in common
-                        seen["in" if left in before or right in after or goes_on and t.text[:1].isupper() else "out", t.low] += 1
-                        follows = i > 0 and tokens[i - 1].low in given and note[tokens[i - 1].end : t.start] == " "
-                        leads = i + 1 < len(tokens) and tokens[i + 1].low in given and note[t.end : tokens[i + 1].start] in (", ", ",")
-                        seen["beside" if follows or leads else "apart", t.low] += 1
-            yield _counts(seen)
-
-    return run
+        rows: list[tuple] = []
+        for note, copies in zip(*(b.column(i).to_pylist() for i in range(2))):
+            spans = formed(note)
+            tokens = words(note, spans)
+            left, right, signs = joints(note, tokens, spans)
+            low = [t.low for t in tokens]
+            gaps = [note[t.end : u.start] for t, u in zip(tokens, tokens[1:])] + [""]
+            for i, t in enumerate(tokens):
+                behind = i + 1 < len(tokens)
+                rows.append((copies, low[i], t.text[:1].isupper(), low[i - 1] if i else None, low[i - 2] if i > 1 else None, low[i + 1] if behind else None, left[i], left[i - 1] if i else "", right[i], signs[i], behind and gaps[i] == " ", behind and gaps[i] in (", ", ","), i > 0 and gaps[i - 1] == " ", None, None, None))
+            if _DIGIT.search(note):
+                ids = [(a, True) for a, _, kind in spans if kind == "id_number"]
+                others = [(m.start(), False) for m in NUMBER.finditer(note) if not BARE.match(note, m.start()) and all(m.end() <= a or m.start() >= e for a, e, _ in spans)]
+                for start, yes in ids + others:
+                    two, one = announced(note, start)
+                    if one:
+                        rows.append((copies, *(None,) * 12, two, one, yes))
+        cols = list(zip(*rows)) if rows else [()] * len(names)
+        kinds = {"copies": pa.int64(), "cap": pa.bool_(), "runs_on": pa.bool_(), "lists": pa.bool_(), "ran_on": pa.bool_(), "formed": pa.bool_()}
+        yield pa.RecordBatch.from_arrays([pa.array(c, kinds.get(n, pa.string())) for n, c in zip(names, cols)], names=names)
+
+
+def _flagged(table: DataFrame, common: frozenset[str], given: frozenset[str]) -> DataFrame:
+    """Adds what is known about a word and its neighbours, and its contexts as contexts() writes them."""
+    spark = table.sparkSession
+    known = spark.createDataFrame([(w, w in common, w in given) for w in sorted(common | given)], "w string, common boolean, given boolean")  # at most 1 / SHARE words and the nicknames
+    for c in ("word", "prev", "prev2", "next"):
+        table = table.join(F.broadcast(known.select(F.col("w").alias(c), F.col("common").alias(f"{c}_common"), F.col("given").alias(f"{c}_given"))), c, "left")
+    flag = lambda c: F.coalesce(F.col(c), F.lit(False))
+    label = lambda c: F.when(flag(f"{c}_common"), F.col(c)).otherwise("?")
+    one = F.when(F.col("left") != "", F.col("left")).otherwise(label("prev"))
+    two = F.when(F.col("left") != "", "").otherwise(F.when(F.col("left_prev") != "", F.col("left_prev")).otherwise(label("prev2")))
+    after = F.when(F.col("right") != "", F.col("right")).when(F.col("next").isNull(), "^").otherwise(label("next"))
+    return table.select(
+        "copies", "word", "cap", "lists", "ran_on",
+        flag("word_common").alias("common"), flag("word_given").alias("given"), flag("prev_given").alias("prev_given"), flag("next_given").alias("next_given"),
+        (F.col("runs_on") & ~flag("next_common")).alias("goes_on"),
+        F.trim(F.concat(two, F.lit(" "), one)).alias("before"), F.concat("sign", after).alias("after"),
+    )
 
 
 def learn(names: DataFrame, nicknames: DataFrame, notes: DataFrame) -> Disclosure:
     """Estimates disclosure from the whole corpus: ``names`` has the column full_name, ``notes`` the column note, without nulls."""
-    parts = names.select(F.explode(F.split(F.lower(F.coalesce("full_name", F.lit(""))), r"[^\p{L}'’]+")).alias("term")).where(F.length("term") > 2)
-    in_names = parts.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
-    distinct = notes.distinct()
-    in_notes = distinct.mapInArrow(_note_words, "kind string, term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
-
-    def frequent(df: DataFrame, least: int) -> tuple[dict[str, int], int]:
+    split = r"[^\p{L}'’]+"
+    firm = F.col("full_name").rlike(r"(?i)\b(?:inc|llc|ltd|gmbh|corp|co|sa|holdings|services)\b")
+    parts = names.where("full_name is not null").select(firm.alias("firm"), F.explode(F.split(F.lower("full_name"), split)).alias("term")).where(F.length("term") > 2)
+    in_names = parts.groupBy("term").agg(F.count(F.lit(1)).alias("n"), F.count_if("firm").alias("firms"))
+    table = store(notes.groupBy("note").agg(F.count(F.lit(1)).alias("copies")).mapInArrow(_part, WORDS))
+    in_notes = table.where("word is not null").groupBy(F.col("word").alias("term")).agg(F.sum("copies").alias("n"), F.lit(0).cast("bigint").alias("firms"))
+
+    def frequent(df: DataFrame, least: int) -> tuple[dict[str, int], int, dict[str, int]]:
+        df = store(df)
         total = df.agg(F.sum("n")).first()[0] or 0
-        return {r.term: r.n for r in df.where(F.col("n") >= max(least, SHARE * total)).collect()}, total
+        rows = df.where(F.col("n") >= max(least, SHARE * total)).collect()
+        return {r.term: r.n for r in rows}, total, {r.term: r.firms for r in rows}
 
-    name_n, name_total = frequent(in_names, 3)
-    note_n, note_total = frequent(in_notes, COMMON)
-    nick = {x.lower() for r in nicknames.select("nickname", "given_name").limit(20_000).collect() for x in r if x}
+    name_n, name_total, firms = frequent(in_names, 3)
+    note_n, note_total, _ = frequent(in_notes, COMMON)
+    nick = {x.lower() for r in nicknames.select("nickname", "given_name").distinct().toLocalIterator() for x in r if x}  # a table of a language's names
     # a surname is spread over few records, a given name over many: given names carry most of the name columns' mass
     least = max(3, name_total * 6e-4)
-    company = {r.term for r in names.where(F.col("full_name").rlike(r"(?i)\b(?:inc|llc|ltd|gmbh|corp|co|sa|holdings|services)\b")).select(F.explode(F.split(F.lower("full_name"), r"[^\p{L}'’]+")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("term").collect()}
-    given = {w for w, n in name_n.items() if n >= least and w not in company and w not in PARTICLES} | nick
+    given = {w for w, n in name_n.items() if n >= least and firms[w] < least and w not in PARTICLES} | nick
     info = lambda w: math.log((name_n.get(w, 1) / max(name_total, 1)) / (note_n[w] / max(note_total, 1))) if w in note_n else 9.0
     sure = frozenset(w for w in given if w in name_n and info(w) >= REVEALS)
     common = frozenset(w for w in note_n if w not in sure)
-    tally = "kind string, term string, n long"
+    seen = _flagged(table.where("word is not null"), common, sure)
+    seen = store(seen)
     least = max(3, SHARE * note_total / 4)
-    rows = distinct.mapInArrow(_contexts(sure, common), tally).groupBy("kind", "term").agg(F.sum("n").alias("n")).where(F.col("n") >= least).collect()
+    family = ~F.col("common") & ~F.col("given")
+    sides = F.array(
+        F.struct(F.when(family, None).when(F.col("given"), "before name").otherwise("before other").alias("kind"), F.col("before").alias("term")),
+        F.struct(F.when(F.col("given") & F.col("goes_on"), None).when(F.col("given") | family & F.col("prev_given"), "after name").otherwise("after other").alias("kind"), F.col("after").alias("term")),
+    )
+    rows = seen.select("copies", F.explode(sides).alias("x")).where("x.kind is not null").groupBy("x.kind", "x.term").agg(F.sum("copies").alias("n")).where(F.col("n") >= least).collect()
     n = {(r.kind, r.term): r.n for r in rows}
     share = lambda side, c: n.get((f"{side} name", c), 0) / max(1, n.get((f"{side} name", c), 0) + n.get((f"{side} other", c), 0))
     side = lambda s: frozenset(c for k, c in n if k == f"{s} name" and c.strip("^#? ") and share(s, c) >= CONTEXT)
     before, after = side("before"), side("after")
-    rows = distinct.mapInArrow(_placed(before, after, common, sure), tally).groupBy("kind", "term").agg(F.sum("n").alias("n")).where(F.col("n") >= 2).collect()
-    at = {(r.kind, r.term): r.n for r in rows}
-    place = lambda w: at.get(("in", w), 0) / max(1, at.get(("in", w), 0) + at.get(("out", w), 0))
-    families = {w for w in common if len(w) > 3 and at.get(("beside", w), 0) >= FAMILY * (at.get(("beside", w), 0) + at.get(("apart", w), 0))}
-    placed = {w for w in common - families if len(w) > 2 and place(w) >= PLACED}
-    given |= placed
-    doubtful = frozenset(w for w in given if w in common and w not in placed)
-    return Disclosure(frozenset(given), doubtful, frozenset(common - given - families) | doubtful, before, after)
+    spark = table.sparkSession
+    places = lambda c, items: F.broadcast(spark.createDataFrame([(x,) for x in sorted(items)], f"{c} string").withColumn(f"by_{c}", F.lit(True)))
+    placed = seen.where("common").join(places("before", before), "before", "left").join(places("after", after), "after", "left")
+    within = F.col("by_before").isNotNull() | F.col("by_after").isNotNull() | F.col("goes_on") & F.col("cap")
+    beside = F.col("prev_given") & F.col("ran_on") | F.col("next_given") & F.col("lists")
+    at = {r.word: r for r in placed.groupBy("word").agg(F.sum("copies").alias("n"), F.sum(F.when(within, F.col("copies")).otherwise(0)).alias("inside"), F.sum(F.when(beside, F.col("copies")).otherwise(0)).alias("beside")).collect()}
+    families = {w for w, r in at.items() if len(w) > 3 and r.n >= 2 and r.beside >= FAMILY * r.n}
+    taken = {w for w, r in at.items() if w not in families and len(w) > 2 and r.inside >= PLACED * r.n}
+    given |= taken
+    doubtful = frozenset(w for w in given if w in common and w not in taken)
+    numbers = table.where("word is null").select("copies", "formed", F.explode(F.array("two", "one")).alias("term"))
+    told = numbers.groupBy("term").agg(F.sum("copies").alias("n"), F.sum(F.when(F.col("formed"), F.col("copies")).otherwise(0)).alias("ids")).where(F.col("n") >= least).collect()
+    announce = {r.term for r in told if r.ids >= CONTEXT * r.n}
+    # one word announces identity numbers only if no two words with it say otherwise
+    against = {r.term.split(" ")[1] for r in told if " " in r.term and r.term not in announce}
+    return Disclosure(frozenset(given), doubtful, frozenset(common - given - families) | doubtful, before, after, frozenset(announce - against))
 
 
 def loaded_notes(customers: DataFrame, lines: DataFrame) -> DataFrame:
@@ -328,10 +365,17 @@ def loaded_notes(customers: DataFrame, lines: DataFrame) -> DataFrame:
 
 def _tag(d: Disclosure):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, tuple] = {}  # notes repeat
         for b in batches:
             out: list[tuple] = []
             for tbl, key, note in zip(*(b.column(i).to_pylist() for i in range(3))):
-                found = dict.fromkeys((kind, note[a:e]) for a, e, kind in find_details(note, d))
+                found = known.get(note)
+                if found is None:
+                    found = tuple(dict.fromkeys((kind, note[a:e]) for a, e, kind in find_details(note, d)))
+                    if len(note) < 500:
+                        if len(known) >= REMEMBERED:
+                            known.clear()
+                        known[note] = found
                 out += ((tbl, key, kind, text) for kind, text in found)
             if out:
                 c = list(zip(*out))
