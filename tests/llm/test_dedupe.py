@@ -63,3 +63,23 @@ def test_trie():
     for key, n, kept in ((b"abc", 1, 5), (b"abcdefghij", 2, 9), (b"abc", 3, 2), (b"", 1, 1), (b"abcdefgh", 1, 4)):
         t.add(key, n, kept)
     assert sorted(t.terminals()) == [(b"", 1, 1), (b"abc", 4, 2), (b"abcdefgh", 1, 4), (b"abcdefghij", 2, 9)]
+
+
+def test_buckets_hold_at_most_their_limit(spark):
+    """Levels of splitting; what lies together in a bucket is decided by the key alone, and one form is never split."""
+    r = random.Random(4)
+    keys = ["".join(r.choice("ab") for _ in range(r.randrange(1, 12))).encode() for _ in range(3000)] + [b"zzzz"] * 500
+    entries = spark.createDataFrame([(bytearray(k), 1, i) for i, k in enumerate(keys)], "key binary, n long, kept long")
+    rows = [(bytes(x.bucket), bytes(x.key), x.kept) for x in dedupe.radix_bucket(entries, 60).collect()]
+    assert sorted(x[2] for x in rows) == list(range(3500))
+    held: dict = {}
+    for bucket, key, _ in rows:
+        assert key.startswith(bucket)
+        held.setdefault(bucket, []).append(key)
+    longer = {b: [k for k in v if len(k) > len(b)] for b, v in held.items()}  # the form that is the prefix itself is one terminal
+    assert all(len(v) <= 60 or len(set(v)) == 1 for v in longer.values())
+    assert len({b for b, k, _ in rows if k == b"zzzz"}) == 1 and max(map(len, held)) >= 4
+
+
+def test_splits_happen_at_the_size_of_the_driver_tables():
+    assert dedupe.LIMIT <= 150_000 / 10

@@ -3,9 +3,10 @@
 A record's canonical bytes hold its letters and digits only, in lower case: the words of the name in
 sorted order, then the two contact fields in sorted order.  Each map task counts its records in a
 trie whose terminals hold the number of copies and the smallest id, so a group of a third of all rows
-shrinks to one entry per Arrow batch before it moves.  Entries are partitioned by the leading bytes
-of the canonical form; a bucket that holds more than ``limit`` entries is split by one more byte,
-again and again, until each fits (entries of one and the same form cannot be split and need not be:
+shrinks to one entry per Arrow batch before it moves.  The entries are stored once, and partitioned by
+the leading bytes of the canonical form; a bucket that holds more than ``limit`` entries is split by
+one more byte, again and again, until each fits: a level looks only at the entries of the buckets that
+were too full (entries of one and the same form cannot be split and need not be:
 they are one terminal).  The buckets' tries give kept id and count of every form, and each record of
 a form with copies is then paired with the kept one; forms with very many copies are salted.
 
@@ -21,13 +22,18 @@ Defined results
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidegate.functions.cutting import store
+
 STRIDE = 8
-LIMIT = 500_000
+#: Entries of a bucket, which one trie holds.
+LIMIT = 10_000
+#: Records of a form beyond which its join is dealt over ``SALTS`` tasks; this changes the plan, not the result.
 HOT, SALTS = 100_000, 64
 # Fixed value: what parts the words of a name (white space, no-break spaces included, and commas), for the inside of a character class.
 WORD_GAPS = r"\s\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000},"
@@ -107,30 +113,31 @@ def _count_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield _batch(rows)
 
 
-def radix_bucket(entries: DataFrame, limit: int, start: int = 2) -> DataFrame:
+def radix_bucket(entries: DataFrame, limit: int, start: int = 1) -> DataFrame:
     """Adds ``bucket``: the shortest prefix, of ``start`` bytes or more, that no more than ``limit`` entries share.
 
-    Only prefixes that are too full reach the driver, at most entries / ``limit`` a level.
+    Every level is read from where the level before left it; only the entries of buckets that are too full go on.  Only
+    prefixes that are too full reach the driver, at most entries / ``limit`` a level.  A bucket of one form is not split.
     """
     prefix = lambda d: F.substring(F.col("key"), 1, d)
-    depth, length, here = start, F.lit(start), entries.select("key")
+    depth, here, done = start, entries, []
     while True:
-        rows = here.where(F.octet_length("key") > depth).groupBy(prefix(depth).alias("p")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > limit).select("p").collect()
-        if not rows:
-            return entries.withColumn("bucket", F.substring(F.col("key"), F.lit(1), length))
-        over = prefix(depth).isin([bytes(r.p) for r in rows])
-        # a prefix that is too full has only prefixes that are too full, so the length of the bucket's prefix is a sum
-        length = length + F.when(over, 1).otherwise(0)
-        here = here.where(over)
+        full = here.where(F.octet_length("key") > depth).groupBy(prefix(depth).alias("p")).agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("x"), F.max("key").alias("y")).where((F.col("n") > limit) & (F.col("x") != F.col("y"))).select("p").collect()
+        if not full:
+            done.append(here.withColumn("bucket", prefix(depth)))
+            return reduce(DataFrame.unionByName, done)
+        over = prefix(depth).isin([bytes(r.p) for r in full])
+        done.append(here.where(~over).withColumn("bucket", prefix(depth)))
+        here = store(here.where(over))
         depth += 1
 
 
 def collapse(records: DataFrame, key: str, name: str, first: str, second: str, *, limit: int = LIMIT) -> tuple[DataFrame, DataFrame]:
     """(forms, records): the canonical forms as (key, n, kept), and (key, rec_id) of every record."""
     keyed = records.where(F.col(f"`{key}`").isNotNull()).select(canonical(name, first, second).alias("key"), F.col(f"`{key}`").cast("long").alias("rec_id"))
-    entries = keyed.mapInArrow(_count_batches, "key binary, n long, kept long")
+    entries = store(keyed.mapInArrow(_count_batches, "key binary, n long, kept long"))
     buckets = radix_bucket(entries, limit).select("bucket", "key", "n", "kept").repartition("bucket").sortWithinPartitions("bucket")
-    return buckets.mapInArrow(_count_buckets, "key binary, n long, kept long"), keyed
+    return store(buckets.mapInArrow(_count_buckets, "key binary, n long, kept long")), keyed
 
 
 def copies(records: DataFrame, key: str = "rec_id", name: str = "full_name", first: str = "email", second: str = "phone", *, limit: int = LIMIT) -> DataFrame:
