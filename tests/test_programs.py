@@ -194,3 +194,30 @@ def test_console(spark, tmp_path, capsys):
     run_text(spark, 'source in = csv("a.csv", schema: { a: int })\nsink out = jsonl("never.jsonl")\npipeline main { in |> out }', str(tmp_path), to_console=True)
     assert capsys.readouterr().out == '=== out ===\n{"a":1}\n{"a":2}\n'
     assert not (tmp_path / "never.jsonl").exists()
+
+
+def test_ranges_without_quotes(spark, tmp_path):
+    """Ranges split column-wise give what ranges read record by record give, whatever ends the lines."""
+    from tidegate.analyze import source_schema
+    from tidegate.builder import fields
+    from tidegate.nodes import SourceDecl
+    from tidegate.sources.csv import csv_source
+
+    lines = ["id,note"]
+    for i in range(300):
+        lines.append(f"{i},é{i}" + ("\r" if i % 5 == 0 else "") if i % 50 else f'{i},"x, {i}"')
+        if i % 9 == 0:
+            lines.append("")
+    for end in ("\n", ""):
+        (tmp_path / "a.csv").write_bytes(("\n".join(lines) + end).encode())
+        decl = SourceDecl("in", "csv", "a.csv", fields("id: int, note: string"))
+        got = [sorted(tuple(r) for r in csv_source(spark, decl, source_schema(decl), str(tmp_path), chunk).df.select("`#ord`", "`#off`", "s0", "s1").collect()) for chunk in (41, 300, 1 << 20)]
+        assert got[0] == got[1] == got[2] and [r[0] for r in got[0]] == [r[2] for r in got[0]] == list(range(300))
+        assert got[0][7][3] == "é7" and got[0][5][3] == "é5" and got[0][50][3] == "x, 50"
+
+
+def test_jsonl_folder_in_row_order(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("hull\n" + "".join(f"h{i:03}\n" for i in range(500)))
+    run_text(spark, 'source in = csv("a.csv", schema: { hull: string })\nsink out = jsonl("lines/")\npipeline main { in |> out }', str(tmp_path))
+    parts = sorted(p for p in (tmp_path / "lines").iterdir() if p.name.startswith("part-"))
+    assert "".join(p.read_text() for p in parts) == "".join(f'{{"hull":"h{i:03}"}}\n' for i in range(500))

@@ -37,9 +37,9 @@ def in_order(df: DataFrame) -> DataFrame:
 
 @register("jsonl")
 def jsonl(name: str, path: str) -> Writer:
-    """One file in row order, streamed partition by partition; a path that ends in a slash is a folder written in parallel."""
+    """One file in row order, streamed partition by partition; a path that ends in a slash is a folder written in parallel, its files in row order."""
     if path.endswith("/"):
-        return lambda df: df.select("line").write.mode("overwrite").text(path)
+        return lambda df: in_order(df).write.mode("overwrite").text(path)
     try:
         open(path, "w").close()
     except OSError as e:

@@ -4,6 +4,8 @@ A file is cut into byte ranges that end at line ends.  A first pass counts, per
 records for both cases (the range begins inside a quoted cell or not); the driver adds these few
 numbers up, which gives every range its state, first line and first ordinal; a second pass reads the
 records.  Both passes are distributed, and ordinals and line numbers are exact whatever the quoting.
+A range without quotes is split column-wise, one with quotes record by record.  What a task has to
+know of its range are the columns of its row.
 """
 
 from __future__ import annotations
@@ -11,7 +13,10 @@ from __future__ import annotations
 import os
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import SparkSession
 
 from tidegate.lower import FATAL, OFF, ORD, Frame
@@ -147,42 +152,80 @@ def header_of(path: str) -> tuple[list[str], int, int]:
         raise BuildFault(f"csv: cannot read header of {path}: {e}") from e
 
 
+def _plain(path: str, start: int, stop: int, line_no: int, ordinal: int, width: int) -> pa.Table | None:
+    """All records of a range without quotes; None if it has any, or a record of another width."""
+    with open(path, "rb") as f:
+        if start:
+            f.seek(start - 1)
+            f.readline()
+        data = f.read(max(0, stop - f.tell()))
+        if data and not data.endswith(b"\n"):
+            data += f.readline()
+    if b'"' in data:
+        return None
+    ended = data.endswith(b"\n")
+    lines = data.decode("utf-8", "replace").split("\n")
+    if ended or not data:
+        lines.pop()
+    if b"\r" in data:
+        last = len(lines) if ended else len(lines) - 1
+        lines = [x[:-1] if i < last and x.endswith("\r") else x for i, x in enumerate(lines)]
+    at = np.flatnonzero([bool(x) for x in lines])
+    cells = pc.split_pattern(pa.array([x for x in lines if x], pa.string()), ",")
+    if len(cells) and not pc.all(pc.equal(pc.list_value_length(cells), width)).as_py():
+        return None
+    return pa.table([pa.array(ordinal + np.arange(len(at)), pa.int64()), pa.array(line_no + at, pa.int64()), cells, pa.nulls(len(at), pa.string())], names=[ORD, OFF, "cells", FATAL])
+
+
+def _quoted(path: str, start: int, stop: int, quoted: bool, line_no: int, ordinal: int, width: int) -> Iterator[pa.RecordBatch]:
+    """The records of any range, one by one."""
+    out: list[tuple] = []
+
+    def batch() -> pa.RecordBatch:
+        n, at, cells, fault = zip(*out) if out else ((), (), (), ())
+        return pa.RecordBatch.from_arrays([pa.array(n, pa.int64()), pa.array(at, pa.int64()), pa.array(cells, pa.list_(pa.string())), pa.array(fault, pa.string())], names=[ORD, OFF, "cells", FATAL])
+
+    for n, at, text in _records(path, start, stop, quoted, line_no, ordinal):
+        fault, cells = None, []
+        try:
+            cells = split_record(text)
+            if len(cells) != width:
+                fault = f"record on line {at}: wrong number of fields"
+        except BrokenRecord as e:
+            fault = f"record on line {at}: {e}"
+        out.append((n, at, cells, fault))
+        if len(out) == 10_000:
+            yield batch()
+            out.clear()
+    yield batch()
+
+
 @register("csv")
 def csv_source(spark: SparkSession, decl: SourceDecl, schema: Schema, base: str, chunk: int = CHUNK) -> Frame:
     path = resolve(base, decl.path)
     header, begin, skipped = header_of(path)
     place = positions(decl, schema, header)
     size, width = os.path.getsize(path), len(header)
-    bounds = [(a, min(a + chunk, size)) for a in range(begin, max(size, begin + 1), chunk)]
+    n_ranges = max(1, -(-(size - begin) // chunk))
+    bounds = lambda i: (begin + i * chunk, min(begin + (i + 1) * chunk, size))
 
     def tally(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame([(i, *_tally(path, *bounds[i])) for i in b["id"]], columns=["id", "n_lines", "odd", "plain", "inside"])
+            yield pd.DataFrame([(i, *_tally(path, *bounds(i))) for i in b["id"]], columns=["id", "n_lines", "odd", "plain", "inside"])
 
-    jobs = spark.range(0, len(bounds), 1, len(bounds))
     line, ordinal, quoted, starts = skipped + 1, 0, False, []
-    counts = [(0, 0, 0, 0, 0)] if len(bounds) == 1 else sorted(tuple(r) for r in jobs.mapInPandas(tally, "id long, n_lines long, odd long, plain long, inside long").collect())
-    for _, n_lines, odd, plain, inside in counts:
-        starts.append((quoted, line, ordinal))
+    counts = [(0, 0, 0, 0, 0)] if n_ranges == 1 else sorted(tuple(r) for r in spark.range(0, n_ranges, 1, n_ranges).mapInPandas(tally, "id long, n_lines long, odd long, plain long, inside long").collect())
+    for i, n_lines, odd, plain, inside in counts:
+        starts.append((*bounds(i), quoted, line, ordinal))
         line, ordinal, quoted = line + n_lines, ordinal + (inside if quoted else plain), quoted ^ bool(odd)
+    jobs = spark.createDataFrame(spark.sparkContext.parallelize(starts, n_ranges), "a long, b long, quoted boolean, line_no long, ordinal long")
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i in b["id"]:
-                out: list[tuple] = []
-                for n, at, text in _records(path, *bounds[i], *starts[i]):
-                    fault, cells = None, []
-                    try:
-                        cells = split_record(text)
-                        if len(cells) != width:
-                            fault = f"record on line {at}: wrong number of fields"
-                    except BrokenRecord as e:
-                        fault = f"record on line {at}: {e}"
-                    out.append((n, at, cells, fault))
-                    if len(out) == 10_000:
-                        yield pd.DataFrame(out, columns=[ORD, OFF, "cells", FATAL])
-                        out = []
-                yield pd.DataFrame(out, columns=[ORD, OFF, "cells", FATAL])
-
-    rows = jobs.mapInPandas(read, f"`{ORD}` long, `{OFF}` long, cells array<string>, `{FATAL}` string")
+            for job in zip(*(c.to_pylist() for c in b.columns)):
+                start, stop, inside, *first = job
+                table = None if inside else _plain(path, start, stop, *first, width)
+                yield from table.to_batches(10_000) if table is not None else _quoted(path, *job, width)
+
+    rows = jobs.mapInArrow(read, f"`{ORD}` long, `{OFF}` long, cells array<string>, `{FATAL}` string")
     return from_cells(spark, decl, schema, rows, place, "csv", fatal=True)
