@@ -32,6 +32,8 @@ from tidegate.functions.cutting import cut
 from tidegate.llm.tokens import count_tokens
 
 BLOCK, SEED, EPS = 2_000, 20_240_501, 1e-9
+#: Target sources that are planned; more are refused, none is left out.
+MOST_SOURCES = 1_000_000
 
 
 def flight(p: np.ndarray, x: np.ndarray, u: np.ndarray) -> np.ndarray:
@@ -120,7 +122,9 @@ FIELDS = "source string, block long, doc_id long, n_tokens long, p double, u dou
 def plan_sources(sized: DataFrame, targets: DataFrame) -> list[dict]:
     """Per target source: its tokens, its quota and how often its tokens are needed (as many rows as the target table has)."""
     have = {r.source: (r.n, r.tokens) for r in sized.join(targets.select("source"), "source").groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum("n_tokens").alias("tokens")).collect()}
-    rows = [r.asDict() for r in targets.select("source", "target_share", "max_repeats").where("source is not null").collect()]
+    rows = [r.asDict() for r in targets.select("source", "target_share", "max_repeats").where("source is not null").limit(MOST_SOURCES + 1).collect()]
+    if len(rows) > MOST_SOURCES:
+        raise ValueError(f"more than {MOST_SOURCES} target sources: they are planned in one place")
     for r in rows:
         r["n_docs"], r["tokens"] = have.get(r["source"], (0, 0))
     live = [r for r in rows if r["tokens"] and r["target_share"] > 0 and r["max_repeats"] > 0]
@@ -139,7 +143,7 @@ def mix(documents: DataFrame, targets: DataFrame, path: str | None = None, *, bl
     sized = cut(count_tokens(documents, path, keep=("doc_id", "source")).where("n_tokens > 0"))
     rows = plan_sources(sized, targets)
     plan = spark.createDataFrame([(r["source"], r["whole"], r["fraction"], r["n_docs"]) for r in rows], "source string, whole int, p double, n_docs long")
-    docs = sized.join(F.broadcast(plan), "source")  # the target table's rows, however large the corpus
+    docs = sized.join(plan, "source")  # Spark broadcasts the plan if its size allows it
     uniform = (F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 30)) + 0.5) / (1 << 30)
     blocks = lambda n: F.pmod(F.xxhash64("doc_id", F.lit(seed + 1)), F.greatest(F.lit(1), F.ceil(n / block)))
     open_docs = docs.where("p > 0").select("source", blocks(F.col("n_docs")).alias("block"), "doc_id", "n_tokens", "p", uniform.alias("u"))
