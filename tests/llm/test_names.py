@@ -261,3 +261,10 @@ def test_components_of_long_chains(spark):
     r.shuffle(ids)
     got = dict(map(tuple, names.components(spark.createDataFrame(list(zip(ids, ids[1:])), "a long, b long")).collect()))
     assert set(got.values()) == {0} and len(got) == 600
+
+
+def test_acronyms_are_companies(compare):
+    for contact in ("email", "phone"):
+        profile = lambda w: (w, *("x" if k == contact else "" for k in ("email", "phone", "ssn")))  # noqa: B023, E731
+        assert compare.same(profile("ns corp"), profile("nafofofilm shipping corp")) and compare.same(profile("ns corp"), profile("nafofofilm shipping"))
+    assert not compare.company(["js", "inc"], ["jadebelond", "soren"])

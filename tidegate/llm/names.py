@@ -288,6 +288,9 @@ class Comparer:
         (own_x, sectors_x), (own_y, sectors_y) = self.split_firm(a), self.split_firm(b)
         if own_x and own_y and lcs_ratio(" ".join(own_x), " ".join(own_y)) >= SURNAME and (not sectors_x or not sectors_y or any(s & t for s in sectors_x for t in sectors_y)):
             return True
+        # an acronym stands for a company, not for a person's initials
+        if not all(any(w in FORMS for w in ws) or sectors for ws, sectors in ((a, sectors_x), (b, sectors_y))):
+            return False
         initials = lambda ws: "".join(w[0] for w in ws)
         forms = lambda ws, core: {initials(core), initials(ws)}
         return "".join(x) in forms(b, y) or "".join(y) in forms(a, x) or "".join(a) in forms(b, y) or "".join(b) in forms(a, x)
