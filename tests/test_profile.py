@@ -53,3 +53,15 @@ def test_rare_and_divergence(spark):
     moved = {r.field: round(r.distance, 4) for r in profile.mask_divergence(df).collect()}
     assert moved == {"phone": round(29 / 31, 4), "ssn": 0.0, "plan": 0.0}
     assert profile.rare_values(df.withColumn("key", df.feed_no), "key", least_share=0.6).count() == 62
+
+
+def test_masks_decide_and_rare_ones_are_looked_at(spark):
+    """Dominant masks are mined per column; only where the mask alone tells are its values accepted by it."""
+    loads = {(1, 1): [(f"555-555-{i:04d}", f"123-45-{i:04d}", "free") for i in range(60)] + [("5555550000", "12-345-6789", "pro"), ("555-0000", "", "gold"), (None, None, None)]}
+    df = table(spark, loads)
+    masks = {(r.field, r["mask"]): r.dominant for r in profile.dominant_masks(df).collect()}
+    assert masks["phone", "999-999-9999"] and not masks["phone", "999-9999"] and masks["plan", "aaaa"]
+    got = {(r.field, r.value): (r.sound, r.fit) for r in profile.judged(df).collect()}
+    assert got["phone", "555-555-0007"] == (True, True) and got["phone", "5555550000"] == (None, True) and got["phone", "555-0000"] == (None, False)
+    assert got["ssn", "123-45-0003"] == (True, True) and got["ssn", "12-345-6789"] == (None, False)
+    assert got["plan", "free"] == (None, True) and got["plan", "gold"] == (None, False) and got["plan", None] == (None, None)

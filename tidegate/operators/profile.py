@@ -3,7 +3,8 @@
 Each value is generalised to a mask of character classes (digits 9, upper-case letters A, lower-case
 letters a, everything else as it is, a leading +1 as it is).  Values are counted once per load and
 column with map-side combine, so a load or value with a third of all rows does not gather; every
-measure is then an aggregate over those counts.  Loads are compared with the load before them by
+measure is then an aggregate over those counts; the dominant masks mined from them decide which values
+need to be looked at one by one.  Loads are compared with the load before them by
 sending each count both to its own load and, negated, to the next one: one aggregation, no join.
 
 Defined results
@@ -44,16 +45,35 @@ def value_counts(df: DataFrame, fields: tuple[str, ...] = FIELDS, load: tuple[st
     return cells.groupBy(*load, "field", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
+def mined(counts: DataFrame, least_share: float) -> DataFrame:
+    """(field, mask, n, share, dominant) of counts with masks."""
+    by_mask = counts.where("value is not null").groupBy("field", "mask").agg(F.sum("n").alias("n"))
+    totals = by_mask.groupBy("field").agg(F.sum("n").alias("total"))
+    return by_mask.join(totals, "field").select("field", "mask", "n", (F.col("n") / F.col("total")).alias("share"), (F.col("n") / F.col("total") >= least_share).alias("dominant"))
+
+
+def judged(df: DataFrame, fields: tuple[str, ...] = FIELDS, *, least_share: float = 0.05) -> DataFrame:
+    """Value counts with mask and ``fit``.
+
+    The dominant masks of each column are mined from the table.  Where such a mask alone tells that its values keep to the
+    column's pattern they are accepted by mask; the values of all other masks are judged one by one."""
+    counts = value_counts(df, fields).withColumn("mask", mask(F.col("value")))
+    told = fits(F.col("field"), F.lit(None).cast("string"), F.col("mask"))  # null where only the value tells
+    sound = mined(counts, least_share).where(F.col("dominant") & told).select("field", "mask", F.lit(True).alias("sound"))  # at most 1 / least_share masks a column
+    counts = counts.join(F.broadcast(sound), ["field", "mask"], "left")
+    return counts.withColumn("fit", F.coalesce("sound", fits(F.col("field"), F.col("value"), F.col("mask"))))
+
+
 def profile(df: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
     """One row per load and column: rows, missing, distinct, non-fitting, shortest and longest value, smallest and largest value."""
-    counts = value_counts(df, fields).withColumn("mask", mask(F.col("value")))
+    counts = judged(df, fields)
     here = F.col("value").isNotNull()
     n = F.col("n")
     return counts.groupBy("feed_no", "load_no", "field").agg(
         F.sum("n").alias("n_rows"),
         F.sum(F.when(here, 0).otherwise(n)).alias("n_missing"),
         F.count("value").alias("n_distinct"),
-        F.sum(F.when(here & ~fits(F.col("field"), F.col("value"), F.col("mask")), n).otherwise(0)).alias("n_misfit"),
+        F.sum(F.when(here & ~F.col("fit"), n).otherwise(0)).alias("n_misfit"),
         F.min("value").alias("min_value"),
         F.max("value").alias("max_value"),
         F.min(F.length("value")).alias("min_length"),
@@ -69,9 +89,7 @@ def mask_counts(df: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
 
 def dominant_masks(df: DataFrame, fields: tuple[str, ...] = FIELDS, *, least_share: float = 0.05) -> DataFrame:
     """(field, mask, n, share, dominant): masks of the whole table; those below ``least_share`` are rare."""
-    by_mask = mask_counts(df, fields).groupBy("field", "mask").agg(F.sum("n").alias("n"))
-    totals = by_mask.groupBy("field").agg(F.sum("n").alias("total"))
-    return by_mask.join(totals, "field").select("field", "mask", "n", (F.col("n") / F.col("total")).alias("share"), (F.col("n") / F.col("total") >= least_share).alias("dominant"))
+    return mined(value_counts(df, fields).withColumn("mask", mask(F.col("value"))), least_share)
 
 
 def rare_values(df: DataFrame, key: str, fields: tuple[str, ...] = FIELDS, *, least_share: float = 0.05) -> DataFrame:
