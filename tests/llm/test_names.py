@@ -268,3 +268,10 @@ def test_acronyms_are_companies(compare):
         profile = lambda w: (w, *("x" if k == contact else "" for k in ("email", "phone", "ssn")))  # noqa: B023, E731
         assert compare.same(profile("ns corp"), profile("nafofofilm shipping corp")) and compare.same(profile("ns corp"), profile("nafofofilm shipping"))
     assert not compare.company(["js", "inc"], ["jadebelond", "soren"])
+
+
+def test_every_nickname_counts(spark):
+    """No bound on the rows of the nickname table."""
+    rows = [(f"Nick{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676 % 26)}{chr(97 + i // 17576)}", f"Given{i % 7}") for i in range(25_000)]
+    table = names._nicknames(spark.createDataFrame([*rows, (None, "Ann"), ("Zzz", None), *NICK], "nickname string, given_name string"))
+    assert len(table) >= 25_000 and table["bill"] >= {"bill", "william"} and table["william"] >= {"william"}
