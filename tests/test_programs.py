@@ -221,3 +221,26 @@ def test_jsonl_folder_in_row_order(spark, tmp_path):
     run_text(spark, 'source in = csv("a.csv", schema: { hull: string })\nsink out = jsonl("lines/")\npipeline main { in |> out }', str(tmp_path))
     parts = sorted(p for p in (tmp_path / "lines").iterdir() if p.name.startswith("part-"))
     assert "".join(p.read_text() for p in parts) == "".join(f'{{"hull":"h{i:03}"}}\n' for i in range(500))
+
+
+@pytest.mark.parametrize("path", ["logs/a*.csv", "logs", "file://{base}/logs", "file://{base}/logs/a?.csv"])
+def test_several_files(spark, tmp_path, path):
+    """A folder or pattern: ordinals go on, line numbers begin anew, and every header must be the same."""
+    from tidegate.analyze import source_schema
+    from tidegate.builder import fields
+    from tidegate.nodes import SourceDecl
+    from tidegate.sources.csv import csv_source
+
+    (tmp_path / "logs").mkdir()
+    for n, rows in ((1, ["10,x", '11,"y\n,z"', "", "12,w"]), (2, ["20,x"]), (3, []), (4, ["40,q", "41,r"])):
+        (tmp_path / "logs" / f"a{n}.csv").write_text("\n" * (n == 4) + "id,note\n" + "".join(r + "\n" for r in rows))
+    (tmp_path / "logs" / "_done").write_text("")
+    decl = SourceDecl("in", "csv", path.replace("{base}", str(tmp_path)), fields("id: int, note: string"))
+    for chunk in (9, 1 << 20):
+        f = csv_source(spark, decl, source_schema(decl), str(tmp_path), chunk)
+        assert sorted(tuple(r) for r in f.df.select("`#ord`", "`#off`", "s0", "s1").collect()) == [(0, 2, 10, "x"), (1, 3, 11, "y\n,z"), (2, 6, 12, "w"), (3, 2, 20, "x"), (4, 3, 40, "q"), (5, 4, 41, "r")]
+    (tmp_path / "logs" / "a5.csv").write_text("note,id\nx,1\n")
+    with pytest.raises(BuildFault, match="not that of the first file"):
+        csv_source(spark, decl, source_schema(decl), str(tmp_path), 9)
+    with pytest.raises(BuildFault, match="no file found"):
+        csv_source(spark, SourceDecl("in", "csv", "none*.csv", fields("id: int")), source_schema(decl), str(tmp_path))

@@ -5,12 +5,12 @@ records for both cases (the range begins inside a quoted cell or not); the drive
 numbers up, which gives every range its state, first line and first ordinal; a second pass reads the
 records.  Both passes are distributed, and ordinals and line numbers are exact whatever the quoting.
 A range without quotes is split column-wise, one with quotes record by record.  What a task has to
-know of its range are the columns of its row.
+know of its range are the columns of its row.  A path may stand for several files with one and the
+same header: ordinals go on from file to file, line numbers are those of each file.
 """
 
 from __future__ import annotations
 
-import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,6 +22,7 @@ from pyspark.sql import SparkSession
 from tidegate.lower import FATAL, OFF, ORD, Frame
 from tidegate.nodes import BuildFault, SourceDecl
 from tidegate.sources import from_cells, positions, register, resolve
+from tidegate.sources.places import expand, has_scheme, opened, size_of
 from tidegate.types import Schema
 
 CHUNK = 64 << 20
@@ -66,7 +67,7 @@ def split_record(text: str) -> list[str]:
 
 def _lines(path: str, start: int, stop: int | None) -> Iterator[bytes]:
     """The lines that begin in [start, stop); without a stop, to the end of the file."""
-    with open(path, "rb") as f:
+    with opened(path) as f:
         if start:
             f.seek(start - 1)
             f.readline()  # the rest of a line that begins in the range before
@@ -98,7 +99,7 @@ def _records(path: str, start: int, stop: int, quoted: bool, line_no: int, ordin
     """(ordinal, line, text) of the records that begin in the range."""
     held: list[bytes] = []
     first = line_no
-    with open(path, "rb") as f:
+    with opened(path) as f:
         if start:
             f.seek(start - 1)
             f.readline()
@@ -137,7 +138,7 @@ def _records(path: str, start: int, stop: int, quoted: bool, line_no: int, ordin
 def header_of(path: str) -> tuple[list[str], int, int]:
     """(header cells, bytes and lines it takes)."""
     try:
-        with open(path, "rb") as f:
+        with opened(path) as f:
             taken, count = b"", 0
             while True:
                 line = f.readline()
@@ -154,7 +155,7 @@ def header_of(path: str) -> tuple[list[str], int, int]:
 
 def _plain(path: str, start: int, stop: int, line_no: int, ordinal: int, width: int) -> pa.Table | None:
     """All records of a range without quotes; None if it has any, or a record of another width."""
-    with open(path, "rb") as f:
+    with opened(path) as f:
         if start:
             f.seek(start - 1)
             f.readline()
@@ -202,30 +203,52 @@ def _quoted(path: str, start: int, stop: int, quoted: bool, line_no: int, ordina
 
 @register("csv")
 def csv_source(spark: SparkSession, decl: SourceDecl, schema: Schema, base: str, chunk: int = CHUNK) -> Frame:
-    path = resolve(base, decl.path)
-    header, begin, skipped = header_of(path)
-    place = positions(decl, schema, header)
-    size, width = os.path.getsize(path), len(header)
-    n_ranges = max(1, -(-(size - begin) // chunk))
-    bounds = lambda i: (begin + i * chunk, min(begin + (i + 1) * chunk, size))
+    path = decl.path if has_scheme(decl.path) else resolve(base, decl.path)
+    files = expand(path)
+    if not files:
+        raise BuildFault(f"csv: no file found at {path}")
+    header = header_of(files[0])[0]
+    place, width = positions(decl, schema, header), len(header)
+    ranges, n = [], 0
+    for f in files:
+        try:
+            size = size_of(f)
+        except OSError as e:
+            raise BuildFault(f"csv: cannot read {f}: {e}") from e
+        ranges += [(n + i, f, a, min(a + chunk, size)) for i, a in enumerate(range(0, max(size, 1), chunk))]
+        n = len(ranges)
 
     def tally(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame([(i, *_tally(path, *bounds(i))) for i in b["id"]], columns=["id", "n_lines", "odd", "plain", "inside"])
-
-    line, ordinal, quoted, starts = skipped + 1, 0, False, []
-    counts = [(0, 0, 0, 0, 0)] if n_ranges == 1 else sorted(tuple(r) for r in spark.range(0, n_ranges, 1, n_ranges).mapInPandas(tally, "id long, n_lines long, odd long, plain long, inside long").collect())
-    for i, n_lines, odd, plain, inside in counts:
-        starts.append((*bounds(i), quoted, line, ordinal))
+            out = []
+            for n, f, start, stop in b.itertuples(index=False):
+                skipped, wrong = 0, None
+                if start == 0:  # the range of the header
+                    names, start, skipped = header_of(f)
+                    wrong = None if names == header else f"csv: header {names} of {f} is not that of the first file, {header}"
+                out.append((n, f, start, max(start, stop), skipped, wrong, *((0, 0, 0, 0) if lone else _tally(f, start, stop))))
+            yield pd.DataFrame(out, columns=["n", "file", "a", "b", "skipped", "wrong", "n_lines", "odd", "plain", "inside"])
+
+    lone = len(ranges) == 1  # one range begins at the first record: there is nothing to add up
+    counted = "n long, file string, a long, b long, skipped long, wrong string, n_lines long, odd long, plain long, inside long"
+    jobs = spark.createDataFrame(spark.sparkContext.parallelize(ranges, len(ranges)), "n long, file string, a long, b long")
+    line, ordinal, quoted, starts, now = 1, 0, False, [], None
+    for r in sorted(tuple(x) for x in jobs.mapInPandas(tally, counted).collect()) if not lone else [next(tally(iter([pd.DataFrame(ranges)]))).iloc[0]]:
+        _, f, a, b, skipped, wrong, n_lines, odd, plain, inside = r
+        if wrong:
+            raise BuildFault(wrong)
+        if f != now:
+            line, quoted, now = int(skipped) + 1, False, f
+        starts.append((f, int(a), int(b), quoted, line, ordinal))
         line, ordinal, quoted = line + n_lines, ordinal + (inside if quoted else plain), quoted ^ bool(odd)
-    jobs = spark.createDataFrame(spark.sparkContext.parallelize(starts, n_ranges), "a long, b long, quoted boolean, line_no long, ordinal long")
+    jobs = spark.createDataFrame(spark.sparkContext.parallelize(starts, len(starts)), "file string, a long, b long, quoted boolean, line_no long, ordinal long")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for job in zip(*(c.to_pylist() for c in b.columns)):
-                start, stop, inside, *first = job
-                table = None if inside else _plain(path, start, stop, *first, width)
-                yield from table.to_batches(10_000) if table is not None else _quoted(path, *job, width)
+                f, start, stop, inside, *first = job
+                table = None if inside else _plain(f, start, stop, *first, width)
+                yield from table.to_batches(10_000) if table is not None else _quoted(*job, width)
 
     rows = jobs.mapInArrow(read, f"`{ORD}` long, `{OFF}` long, cells array<string>, `{FATAL}` string")
     return from_cells(spark, decl, schema, rows, place, "csv", fatal=True)
