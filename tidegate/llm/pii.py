@@ -28,8 +28,9 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -49,7 +50,7 @@ REMEMBERED = 20_000
 _LOCAL = r"[A-Za-z0-9][A-Za-z0-9._%+'\-]*"
 _DOT = r"(?:\s?[\[({]\s?dot\s?[\])}]\s?|\sdot\s)"
 _AT = r"(?:\s?[\[({]\s?at\s?[\])}]\s?|\sat\s)"
-EMAIL = re.compile(rf"{_LOCAL}\s?@\s?[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)+|{_LOCAL}(?:{_DOT}{_LOCAL})*(?:{_AT}|\s?@\s?)[A-Za-z0-9\-]+(?:(?:{_DOT}|\.)[A-Za-z0-9\-]+)*{_DOT}[A-Za-z0-9\-]+", re.I)
+EMAIL = re.compile(rf"(?<![A-Za-z0-9])(?:{_LOCAL}\s?@\s?[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)+|{_LOCAL}(?:{_DOT}{_LOCAL})*(?:{_AT}|\s?@\s?)[A-Za-z0-9\-]+(?:(?:{_DOT}|\.)[A-Za-z0-9\-]+)*{_DOT}[A-Za-z0-9\-]+)", re.I)
 _END = r"(?![\w]|[-/.][0-9])"
 PHONE = re.compile(
     rf"(?<![\w/#])\+(?=(?:[ .\-]?\(?[0-9]\)?){{10,15}}(?![0-9]))[0-9]{{1,3}}(?:[ .\-]?\(?[0-9]+\)?){{1,6}}{_END}"
@@ -88,15 +89,11 @@ class Disclosure:
     announce: frozenset[str] = frozenset()
 
 
-@dataclass
 class Token:
-    text: str
-    start: int
-    end: int
-    low: str = field(init=False)
+    __slots__ = ("text", "start", "end", "low")
 
-    def __post_init__(self) -> None:
-        self.low = self.text.lower()
+    def __init__(self, text: str, start: int, end: int) -> None:
+        self.text, self.start, self.end, self.low = text, start, end, text.lower()
 
 
 def announced(note: str, start: int) -> tuple[str, str]:
@@ -127,14 +124,16 @@ def formed(note: str, announce: frozenset[str] = frozenset()) -> list[tuple[int,
 
 def words(note: str, spans: list[tuple[int, int, str]]) -> list[Token]:
     """The words outside of the spans, without a possessive's ending."""
-    out = []
+    out, k = [], 0
     for m in WORD.finditer(note):
-        if any(a < m.end() and m.start() < b for a, b, _ in spans):
+        start, end = m.span()
+        while k < len(spans) and spans[k][1] <= start:
+            k += 1
+        if k < len(spans) and spans[k][0] < end:
             continue
-        end = m.end()
-        if m[0][-2:].lower() in ("'s", "’s") and len(m[0]) > 3:
+        if end - start > 3 and note[end - 2 : end] in ("'s", "’s", "'S", "’S"):
             end -= 2
-        out.append(Token(note[m.start() : end], m.start(), end))
+        out.append(Token(note[start:end], start, end))
     return out
 
 
@@ -146,9 +145,11 @@ def joints(note: str, tokens: list[Token], spans: list[tuple[int, int, str]]) ->
     starts = [a for a, *_ in spans]
 
     def between(a: int, b: int) -> str:
-        if any(a <= x < b for x in starts):
+        if starts and (k := bisect_left(starts, a)) < len(starts) and starts[k] < b:
             return "#"
         gap = note[a:b]
+        if gap == " ":
+            return ""
         return "^" if _BREAK.search(gap) and gap != ". " or not gap and a == 0 else ""
 
     left = [between(tokens[i - 1].end, t.start) if i else ("#" if any(x < t.start for x in starts) else "^") for i, t in enumerate(tokens)]
