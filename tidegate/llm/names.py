@@ -1,12 +1,19 @@
 """Variant spellings of names typed by people (problem 4).
 
-Records are normalised and collapsed into profiles.  Profiles that share a contact value are compared, all of
-them: names are grouped, and values of more than ``LIMIT`` names are compared in strips in which word by word
-only pairs that cannot be accepted are passed over.  Links that need no contact depend on the name and on which
-contacts are present; such classes of profiles are indexed by forms of the name that every acceptable pair shares.
-Pairs are compared word by word by the ratio of their longest common subsequence, with nicknames, initials,
-cut-off and joined words; what they share beside the name decides how close it must be.  Links make
-components, and the components' records whose names differ as written are the result.
+Records are normalised and collapsed into profiles.  A profile counts under its name as written and as its email
+spells it.  Pairs come from two places.
+
+Suffix blocking needs no contact: every long word of a name is indexed under its suffixes, the whole word and its
+last ``MIN_SUFFIX`` letters, which any longer common suffix ends in.  A suffix alone is common, so each is refined by
+the other words of the name: the given names a word may stand for, their initials and beginnings, or all the rest.
+Pairs that meet are compared word by word by the ratio of their longest common subsequence, with nicknames,
+initials, cut-off and joined words; whether the name alone decides depends on how many people are expected to bear
+it by chance, which the corpus tells.
+
+Profiles that share a contact value are compared, all of them: names are grouped, and values of more than ``LIMIT``
+names are compared in strips in which word by word only pairs that cannot be accepted are passed over.  What two
+profiles share beside the name decides how close it must be.  Links make components, and the components' records
+whose names differ as written are the result.
 
 No key is discarded: groups of equal names are linked through their smallest id, so that a key's pairs are
 pairs of different names.
@@ -15,6 +22,8 @@ Defined results
 ---------------
 * null and blank names are linked to nothing; null or blank contact fields support nothing;
 * a contact value used by many different names supports a link only as far as the names agree;
+* an email that spells another person's name, of another initial, changes nothing;
+* names of one frequent surname and given name are linked without contact only if a contact is missing;
 * repeated rows are records of their own and are paired as such; ties cannot arise;
 * very long names are compared whole; empty tables give an empty result; further columns are ignored.
 """
