@@ -96,6 +96,6 @@ def test_stored_contexts_are_those_of_a_note(spark):
     notes = ["met Amara Zolerok at the fair; tel 555.010.2345, per Daniel", "dear DANIEL, thank you", "12 a@b.example Kit's flat - is vacant. and", "", "w"]
     common, given = frozenset("met at the fair dear thank you flat is and w".split()), frozenset("amara daniel kit".split())
     want = sorted((t.low, *c) for n in notes for s in [pii.formed(n)] for k in [pii.words(n, s)] for t, c in zip(k, pii.contexts(n, k, s, common)))
-    table = spark.createDataFrame([(n, 2) for n in notes], "note string, copies long").mapInArrow(pii._part, pii.WORDS).where("word is not null")
-    seen = pii._flagged(table, common, given).collect()
+    table = spark.createDataFrame([(n, 2) for n in notes], "note string, copies long").mapInArrow(pii._part, pii.WORDS)
+    seen = pii._flagged(pii._words(table), common, given).collect()
     assert sorted((r.word, r.before, r.after) for r in seen) == want and {r.copies for r in seen} == {2}

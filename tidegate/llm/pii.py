@@ -253,33 +253,52 @@ def redact(note: str | None, d: Disclosure) -> str | None:
     return "".join(parts) + note[at:]
 
 
-WORDS = "copies long, word string, cap boolean, prev string, prev2 string, next string, left string, left_prev string, right string, sign string, runs_on boolean, lists boolean, ran_on boolean, two string, one string, formed boolean"
+WORDS = "copies long, word array<string>, cap array<boolean>, left array<string>, right array<string>, sign array<string>, gap array<string>, two array<string>, one array<string>, formed array<boolean>"
 
 
 def _part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(note, copies) to a row per word with its neighbours, and a row without word per number with the words before it."""
+    """(note, copies) to the note's words and numbers: for each word its joints, the sign and the text up to the next one; for each number the words before it."""
     names = [f.split()[0] for f in WORDS.split(", ")]
+    kinds = {"cap": pa.bool_(), "formed": pa.bool_()}
     for b in batches:
-        rows: list[tuple] = []
-        for note, copies in zip(*(b.column(i).to_pylist() for i in range(2))):
+        flat: dict[str, list] = {n: [] for n in names[1:]}
+        ends_w, ends_n = [0], [0]
+        for note in b.column(0).to_pylist():
             spans = formed(note)
             tokens = words(note, spans)
             left, right, signs = joints(note, tokens, spans)
-            low = [t.low for t in tokens]
-            gaps = [note[t.end : u.start] for t, u in zip(tokens, tokens[1:])] + [""]
-            for i, t in enumerate(tokens):
-                behind = i + 1 < len(tokens)
-                rows.append((copies, low[i], t.text[:1].isupper(), low[i - 1] if i else None, low[i - 2] if i > 1 else None, low[i + 1] if behind else None, left[i], left[i - 1] if i else "", right[i], signs[i], behind and gaps[i] == " ", behind and gaps[i] in (", ", ","), i > 0 and gaps[i - 1] == " ", None, None, None))
+            flat["word"] += [t.low for t in tokens]
+            flat["cap"] += [t.text[0].isupper() for t in tokens]
+            flat["left"] += left
+            flat["right"] += right
+            flat["sign"] += signs
+            if tokens:
+                flat["gap"] += [note[t.end : u.start] for t, u in zip(tokens, tokens[1:])]
+                flat["gap"].append("")
             if _DIGIT.search(note):
                 ids = [(a, True) for a, _, kind in spans if kind == "id_number"]
                 others = [(m.start(), False) for m in NUMBER.finditer(note) if not BARE.match(note, m.start()) and all(m.end() <= a or m.start() >= e for a, e, _ in spans)]
                 for start, yes in ids + others:
                     two, one = announced(note, start)
                     if one:
-                        rows.append((copies, *(None,) * 12, two, one, yes))
-        cols = list(zip(*rows)) if rows else [()] * len(names)
-        kinds = {"copies": pa.int64(), "cap": pa.bool_(), "runs_on": pa.bool_(), "lists": pa.bool_(), "ran_on": pa.bool_(), "formed": pa.bool_()}
-        yield pa.RecordBatch.from_arrays([pa.array(c, kinds.get(n, pa.string())) for n, c in zip(names, cols)], names=names)
+                        flat["two"].append(two)
+                        flat["one"].append(one)
+                        flat["formed"].append(yes)
+            ends_w.append(len(flat["word"]))
+            ends_n.append(len(flat["one"]))
+        lists = [pa.ListArray.from_arrays(pa.array(ends_n if n in ("two", "one", "formed") else ends_w, pa.int32()), pa.array(flat[n], kinds.get(n, pa.string()))) for n in names[1:]]
+        yield pa.RecordBatch.from_arrays([b.column(1), *lists], names=names)
+
+
+def _words(table: DataFrame) -> DataFrame:
+    """A row per word of the stored notes, with its neighbours."""
+    at = lambda c, i: F.get(F.col(c), i)
+    each = F.transform("word", lambda w, i: F.struct(
+        w.alias("word"), at("cap", i).alias("cap"), at("word", i - 1).alias("prev"), at("word", i - 2).alias("prev2"), at("word", i + 1).alias("next"),
+        at("left", i).alias("left"), F.coalesce(at("left", i - 1), F.lit("")).alias("left_prev"), at("right", i).alias("right"), at("sign", i).alias("sign"),
+        ((at("gap", i) == " ") & (i + 1 < F.size("word"))).alias("runs_on"), at("gap", i).isin(", ", ",").alias("lists"), F.coalesce(at("gap", i - 1) == " ", F.lit(False)).alias("ran_on"),
+    ))
+    return table.select("copies", F.inline(each))
 
 
 def _flagged(table: DataFrame, common: frozenset[str], given: frozenset[str]) -> DataFrame:
@@ -308,7 +327,7 @@ def learn(names: DataFrame, nicknames: DataFrame, notes: DataFrame) -> Disclosur
     parts = names.where("full_name is not null").select(firm.alias("firm"), F.explode(F.split(F.lower("full_name"), split)).alias("term")).where(F.length("term") > 2)
     in_names = parts.groupBy("term").agg(F.count(F.lit(1)).alias("n"), F.count_if("firm").alias("firms"))
     table = store(notes.groupBy("note").agg(F.count(F.lit(1)).alias("copies")).mapInArrow(_part, WORDS))
-    in_notes = table.where("word is not null").groupBy(F.col("word").alias("term")).agg(F.sum("copies").alias("n"), F.lit(0).cast("bigint").alias("firms"))
+    in_notes = table.select("copies", F.explode("word").alias("term")).groupBy("term").agg(F.sum("copies").alias("n"), F.lit(0).cast("bigint").alias("firms"))
 
     def frequent(df: DataFrame, least: int) -> tuple[dict[str, int], int, dict[str, int]]:
         df = store(df)
@@ -325,7 +344,7 @@ def learn(names: DataFrame, nicknames: DataFrame, notes: DataFrame) -> Disclosur
     info = lambda w: math.log((name_n.get(w, 1) / max(name_total, 1)) / (note_n[w] / max(note_total, 1))) if w in note_n else 9.0
     sure = frozenset(w for w in given if w in name_n and info(w) >= REVEALS)
     common = frozenset(w for w in note_n if w not in sure)
-    seen = _flagged(table.where("word is not null"), common, sure)
+    seen = _flagged(_words(table), common, sure)
     seen = store(seen)
     least = max(3, SHARE * note_total / 4)
     family = ~F.col("common") & ~F.col("given")
@@ -348,7 +367,7 @@ def learn(names: DataFrame, nicknames: DataFrame, notes: DataFrame) -> Disclosur
     taken = {w for w, r in at.items() if w not in families and len(w) > 2 and r.inside >= PLACED * r.n}
     given |= taken
     doubtful = frozenset(w for w in given if w in common and w not in taken)
-    numbers = table.where("word is null").select("copies", "formed", F.explode(F.array("two", "one")).alias("term"))
+    numbers = table.select("copies", F.inline(F.arrays_zip("two", "one", "formed"))).select("copies", "formed", F.explode(F.array("two", "one")).alias("term"))
     told = numbers.groupBy("term").agg(F.sum("copies").alias("n"), F.sum(F.when(F.col("formed"), F.col("copies")).otherwise(0)).alias("ids")).where(F.col("n") >= least).collect()
     announce = {r.term for r in told if r.ids >= CONTEXT * r.n}
     # one word announces identity numbers only if no two words with it say otherwise
