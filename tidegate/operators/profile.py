@@ -47,9 +47,10 @@ def value_counts(df: DataFrame, fields: tuple[str, ...] = FIELDS, load: tuple[st
 
 def mined(counts: DataFrame, least_share: float) -> DataFrame:
     """(field, mask, n, share, dominant) of counts with masks."""
-    by_mask = counts.where("value is not null").groupBy("field", "mask").agg(F.sum("n").alias("n"))
-    totals = by_mask.groupBy("field").agg(F.sum("n").alias("total"))
-    return by_mask.join(totals, "field").select("field", "mask", "n", (F.col("n") / F.col("total")).alias("share"), (F.col("n") / F.col("total") >= least_share).alias("dominant"))
+    # no filter on the values: it would go below the counts and keep their exchange from being used again
+    by_mask = counts.groupBy("field", "mask").agg(F.sum(F.when(F.col("value").isNotNull(), F.col("n"))).alias("n")).where("n > 0")
+    share = F.col("n") / F.sum("n").over(Window.partitionBy("field"))  # a row per mask
+    return by_mask.select("field", "mask", "n", share.alias("share")).withColumn("dominant", F.col("share") >= least_share)
 
 
 def judged(df: DataFrame, fields: tuple[str, ...] = FIELDS, *, least_share: float = 0.05) -> DataFrame:
