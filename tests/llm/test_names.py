@@ -275,3 +275,57 @@ def test_every_nickname_counts(spark):
     rows = [(f"Nick{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676 % 26)}{chr(97 + i // 17576)}", f"Given{i % 7}") for i in range(25_000)]
     table = names._nicknames(spark.createDataFrame([*rows, (None, "Ann"), ("Zzz", None), *NICK], "nickname string, given_name string"))
     assert len(table) >= 25_000 and table["bill"] >= {"bill", "william"} and table["william"] >= {"william"}
+
+
+def _spellings(seed: int, n: int) -> list[str]:
+    """Names of one to seven words, misspelt, cut off, joined, with initials, particles, legal forms and words of any length."""
+    r = random.Random(seed)
+    given = ["abigail", "bill", "william", "willy", "christina", "tina", "christian", "anna", "hanna", "johanna", "li", "bo", "josé", "żaneta"]
+    surname = ["".join(r.choice("bdgklmnr") + r.choice("aeio") for _ in range(r.choice((2, 3, 4, 5)))) for _ in range(25)] + ["lee", "wu", "x" * 70, "abcdefghij" * 7]
+    firm = ["foods", "shipping", "manufacturing", "corp", "inc", "gmbh", "mfg", "ns", "ibm"]
+    out = set()
+    while len(out) < n:
+        ws = [r.choice(given) for _ in range(r.choice((0, 1, 1, 1, 2)))] + [r.choice(surname) for _ in range(r.choice((1, 1, 1, 2)))]
+        ws += [r.choice("abhtw")] * (r.random() < 0.3) + ["van"] * (r.random() < 0.1) + [r.choice(firm) for _ in range(r.choice((0, 0, 0, 1, 2)))] + [r.choice(given) for _ in range(3 * (r.random() < 0.05))]
+        t = list(" ".join(ws))
+        for _ in range(r.choice((0, 0, 1, 2, 3))):
+            k = r.randrange(len(t))
+            t[k : k + 1] = r.choice([[], [t[k], r.choice("aeirst")], [r.choice("aeirst")], [t[k]] * 3])
+            t = t or ["a"]
+        if form := names.name_form("".join(t)):
+            out.add(form)
+    return sorted(out)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_near_holds_every_accepted_spelling(seed):
+    table = {"bill": {"bill", "william"}, "willy": {"willy", "william"}, "william": {"william"}, "tina": {"tina", "christina"}, "christina": {"christina"}}
+    given, sectors = frozenset(("william", "christina", "christian", "abigail")), frozenset(("foods", "shipping", "manufacturing"))
+    compare = names.Comparer({k: frozenset(v) for k, v in table.items()}, given, sectors)
+    forms = _spellings(seed, 500)
+    left, right = forms[::2], forms[1::2]
+    near = names.near(left, right, compare)
+    accepted = [(i, j) for i, a in enumerate(left) for j, b in enumerate(right) if compare.same((a, "", "1", ""), (b, "", "1", "")) or compare.same((b, "", "1", ""), (a, "", "1", ""))]
+    assert len(accepted) > 100 and not [(left[i], right[j]) for i, j in accepted if not near[i, j]]
+
+
+def test_near_follows_the_names_not_their_pairs(compare):
+    """Names of one given name meet only if their surnames agree: of a contact value of many names few pairs are compared."""
+    assert not names.near(["nolerotess william"], ["hetegoreth william", "hetegoreth joseph", "hetegoreth n william"], compare).any()
+    r = random.Random(29)
+    surname = lambda: "".join(r.choice("bdfgklmnprstvz") + r.choice("aeiou") for _ in range(5))
+    forms = sorted({names.name_form(f"{r.choice(('William', 'Joseph', 'Christina', 'Zelda', 'Soren'))} {surname()} {r.choice('abc')}") for _ in range(800)})
+    assert names.near(forms, forms, compare).sum() < 3 * len(forms)  # a name and itself, and little else
+
+
+def test_every_strip_meets(spark, monkeypatch):
+    """Strips of a few names against the half that follows them give the links of all pairs."""
+    monkeypatch.setattr(names, "STRIP", 40)
+    forms = _spellings(3, 330)
+    compare = names.Comparer({"bill": frozenset(("bill", "william")), "william": frozenset(("william",))}, frozenset(("william",)), frozenset(("foods", "shipping")))
+    ids = list(range(len(forms)))
+    random.Random(4).shuffle(ids)
+    rows = [(k, w, "", phone, "", w) for n, phone in ((330, "1"), (110, "2")) for k, w in ((k + 1000 * int(phone), w) for k, w in zip(ids[:n], forms))]
+    got = names.link_contacts(spark.createDataFrame(rows, "pid long, words string, email string, phone string, ssn string, spelt string"), lambda: compare, 5)
+    want = {(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and a[3] == b[3] and compare.same((a[1], "", "1", ""), (b[1], "", "1", ""))}
+    assert len(want) > 100 and {tuple(x) for x in got.collect()} == want
